@@ -27,6 +27,18 @@ def _p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_secrets(table(spark, d, "kb_documents").select("id", "path", "content"), "content").distinct()
 
 
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from . import codeorigin
+
+    return codeorigin.found(table(spark, d, "kb_documents"))
+
+
+def _p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from . import codeorigin
+
+    return codeorigin.origins(table(spark, d, "kb_documents"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     from . import nearcopies
 
@@ -56,6 +68,8 @@ def _p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
+    "p4_found": _p4_found,
+    "p4_reasons": _p4_reasons,
     "p5_found": _p5_found,
     "p5_classes": _p5_classes,
     "p6_found": _p6_found,
