@@ -27,6 +27,25 @@ def _p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_secrets(table(spark, d, "kb_documents").select("id", "path", "content"), "content").distinct()
 
 
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from . import boilerplate, residue
+
+    pages = table(spark, d, "web_fetched_pages")
+    return boilerplate.found(pages, residue.bad_pages(pages))
+
+
+def _p2_body(spark: SparkSession, d: str) -> DataFrame:
+    from . import boilerplate
+
+    return boilerplate.main_body(table(spark, d, "web_fetched_pages"))
+
+
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from . import residue
+
+    return residue.found(table(spark, d, "web_fetched_pages"), table(spark, d, "kb_documents"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     from . import codeorigin
 
@@ -68,6 +87,9 @@ def _p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
+    "p2_found": _p2_found,
+    "p2_body": _p2_body,
+    "p3_found": _p3_found,
     "p4_found": _p4_found,
     "p4_reasons": _p4_reasons,
     "p5_found": _p5_found,
