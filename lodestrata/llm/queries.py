@@ -84,6 +84,19 @@ def _p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitter.split_markdown(splitter.markdown_rows(table(spark, d, "kb_documents")), at["chunk_size"], at["chunk_overlap"]).distinct()
 
 
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from . import language
+
+    return language.found(table(spark, d, "documents"))
+
+
+def _p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    from . import language
+
+    documents = table(spark, d, "documents")
+    return language.document_languages(language.detect(documents, language.fit(documents)))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
@@ -96,6 +109,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_classes": _p5_classes,
     "p6_found": _p6_found,
     "p6_pieces": _p6_pieces,
+    "p9_found": _p9_found,
+    "p9_languages": _p9_languages,
 }
 
 
