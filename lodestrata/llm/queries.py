@@ -84,6 +84,34 @@ def _p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitter.split_markdown(splitter.markdown_rows(table(spark, d, "kb_documents")), at["chunk_size"], at["chunk_overlap"]).distinct()
 
 
+def _p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    from . import packing, tokens
+
+    capacities = {k: v for k, v in limits(spark, d).items() if k.startswith("pack_")}
+    return packing.packed(tokens.counted(table(spark, d, "documents")), capacities)
+
+
+def _p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    from . import packing
+
+    capacities = {k: v for k, v in limits(spark, d).items() if k.startswith("pack_")}
+    return packing.fill_report(_p7_packed(spark, d), capacities)
+
+
+def _p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    from . import mixing, tokens
+
+    return mixing.mixed(tokens.counted(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def _p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    from . import mixing, tokens
+    from .common import cut
+
+    records, mix = cut(tokens.counted(table(spark, d, "documents"))), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.draw(records, mix), records, mix)
+
+
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
     from . import language
 
@@ -109,6 +137,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_classes": _p5_classes,
     "p6_found": _p6_found,
     "p6_pieces": _p6_pieces,
+    "p7_packed": _p7_packed,
+    "p7_fill": _p7_fill,
+    "p8_mixed": _p8_mixed,
+    "p8_shares": _p8_shares,
     "p9_found": _p9_found,
     "p9_languages": _p9_languages,
 }
