@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boilerplate import furniture, host_of, normal
-from .common import CODE_SUFFIXES
+from .common import CODE_SUFFIXES, cut
 
 # Words of the classical filler text.
 _LOREM = frozenset(
@@ -152,7 +152,7 @@ def residue(rows: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
             yield b[[isinstance(t, str) and bool(_SIGNS.search(t)) and any(map(evidence, t.split("\n"))) for t in b["text"]]]
 
     clean = rows.where("id is not null and text is not null").withColumn("text", F.regexp_replace("text", "\r", ""))
-    candidates = clean.mapInPandas(signs, clean.schema)
+    candidates = cut(clean.mapInPandas(signs, clean.schema))  # read twice below
     marked = candidates.withColumn("line", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.regexp_replace(F.lower(F.trim(x)), r"\d+", "0"))))))
     known = marked.select("id", "place", "line").join(_recurrent(clean, least, share), ["place", "line"]).groupBy("id").agg(F.collect_set("line").alias("known"))
     judged = candidates.join(known, "id", "left").withColumn(
