@@ -140,7 +140,7 @@ def json_candidate(c: Column) -> Column:
     fenced = F.regexp_extract(c, r"(?is)```(?:json)?\s*(.*?)```", 1)
     obj = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     arr = F.regexp_extract(c, r"(?s)(\[.*\])", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(obj != "", obj).when(arr != "", arr).otherwise(F.trim(c))
+    return F.when(fenced != "", trim_all(fenced)).when(obj != "", obj).when(arr != "", arr).otherwise(trim_all(c))
 
 
 def normalize_suffixes(values: list[str]) -> list[str]:

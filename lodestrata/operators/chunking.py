@@ -127,7 +127,7 @@ def stitch(chunks: DataFrame, least: int = 8) -> DataFrame:
     def join(a: Column, b: Column) -> Column:
         shortest = F.least(F.length(a), F.length(b))
         sizes = F.when(shortest >= least, F.sequence(shortest, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        k = F.filter(sizes, lambda n: F.endswith(a, F.substring(b, F.lit(1), n))).getItem(0)
+        k = F.get(F.filter(sizes, lambda n: F.endswith(a, F.substring(b, F.lit(1), n))), F.lit(0))
         return F.when(F.length(a) == 0, b).when(k.isNotNull(), F.concat(a, b.substr(k + 1, F.length(b)))).otherwise(F.concat(a, F.lit("\n\n"), b))
 
     ordered = chunks.groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct("chunk_index", "content"))).alias("parts"))

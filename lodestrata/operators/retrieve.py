@@ -45,13 +45,17 @@ def _idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(IDF_FLOOR), F.log((n - df + 0.5) / (df + 0.5)))
 
 
+def _count(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def full_text(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
     """BM25 over contents; the corpus statistics aren't restricted by the suffix filter."""
     terms = T.terms_of(query)[: T.QUERY_TOKENS]
     if not terms:
         return chunks.where("false").select("chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     words = T.tokens(F.col("content"))
-    counted = chunks.select("chunk_id", "path", F.size(words).alias("dl"), *[F.size(F.filter(words, lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = chunks.select("chunk_id", "path", F.size(words).alias("dl"), *[_count(words, t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
     if suffixes:

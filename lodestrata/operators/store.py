@@ -94,7 +94,7 @@ class Store:
         target = self.folder / name
         paths = [target] if source_key is None else [p for p in target.glob("source_key=*") if p.name == "source_key=" + self._escaped(source_key)]
         for p in paths:
-            path = hadoop.Path(p.as_uri() if p.is_absolute() else p.absolute().as_uri())
+            path = hadoop.Path(str(p.absolute()))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _escaped(self, value: str) -> str:
