@@ -274,7 +274,9 @@ def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id
                         if total:
                             share = float(v[k]) / total
                             got[n] = (m.codes[k] if share >= m.threshold else None, share)
-            yield pd.DataFrame({"doc_id": ids, "block_no": numbers, "n_chars": [len(t) for t in texts], "language_code": [c for c, _ in got], "confidence": [p for _, p in got]}, columns=["doc_id", "block_no", "n_chars", "language_code", "confidence"])
+            if ids:
+                codes = pd.Series([c for c, _ in got], dtype=object)
+                yield pd.DataFrame({"doc_id": ids, "block_no": numbers, "n_chars": [len(t) for t in texts], "language_code": codes, "confidence": [p for _, p in got]})
 
     picked = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     return picked.mapInPandas(run, schema)

@@ -74,7 +74,7 @@ _NOTICES = [
 ]
 _NOTICE = re.compile(r"(?:" + "|".join(f"(?:{x})" for x in _NOTICES) + r")[.!。！]?", re.I)
 _SLOT = re.compile(
-    r"\{\{[^{}]{1,120}\}\}|\{%[^%]{1,120}%\}|<%[^%]{1,120}%>|\$\{[^{}]{1,80}\}|%\([\w.]+\)[sd]|%[A-Z][A-Z0-9_]+%|\[\[[\w .-]{1,60}\]\]|__[A-Z][A-Z0-9_]*__|(?<![\w$])\$[A-Z][A-Z0-9_]{2,}\b|@@?[A-Z_]{3,}@@?|\{[a-z_]{2,40}(?:\.[a-z_]{1,40})*\}"
+    r"\{\{[^{}]{1,120}\}\}|\{%[^%]{1,120}%\}|<%[^%]{1,120}%>|\$\{[^{}]{1,80}\}|%\([\w.]+\)[sd]|%[A-Z][A-Z0-9_]+%|\[\[[\w .-]{1,60}\]\]|__[A-Z][A-Z0-9_]*__|(?<![\w$])\$[A-Z][A-Z0-9_]{2,}\b|@@?[A-Z_]{3,}@@?|@@[\w.]{2,60}@@|%%[\w.]{2,60}%%|##[\w.]{2,60}##|<<[\w. ]{2,60}>>|#\{[\w.]{1,60}\}|\{\$[\w.]{1,60}\}|\{[a-z_]{2,40}(?:\.[a-z_]{1,40})*\}"
     r"|\[(?:insert|your|product|company|section|describe|add|title|name|date|name of|enter|placeholder|author|client|city|email|phone|address|logo|image|link|topic|number)\b[^\[\]()]{0,90}\](?!\()",
     re.I,
 )
@@ -85,7 +85,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 # A cheap sign that a text may hold evidence at all; every form above contains one of these.
 _SIGNS = re.compile(
     r"(?i)script|cookies|[45]\d\d|not found|nicht|introuvable|n'existe|encontrada|trovata|gevonden|不存在|未找到|找不到|denied|forbidden|permission|unauthorized|error|fehler|went wrong|incident|gateway|unavailable|too many|upstream|slow down|try again|maintenance"
-    r"|back|session|sign in|log in|logged in|browser|human|robot|captcha|moment|domain|traceback|exception|coming soon|construction|demnächst|bientôt|próximamente|em breve|prossimamente|binnenkort|敬请期待|建设中|tbd|tba|tbc|t\.b|todo|to be |wip|in progress|goes here|comes here|sample|dummy|placeholder|your |insert|add a|add your|click|replace|first post|hello|undefined|null|nan|object|lorem|ipsum|dolor|\{\{|\{%|<%|\$|%[A-Z(]|\[|__|@|\{[a-z]|space|oops|sorry|whoops|find|脚本"
+    r"|back|session|sign in|log in|logged in|browser|human|robot|captcha|moment|domain|traceback|exception|coming soon|construction|demnächst|bientôt|próximamente|em breve|prossimamente|binnenkort|敬请期待|建设中|tbd|tba|tbc|t\.b|todo|to be |wip|in progress|goes here|comes here|sample|dummy|placeholder|your |insert|add a|add your|click|replace|first post|hello|undefined|null|nan|object|lorem|ipsum|dolor|\{\{|\{%|<%|\$|%[A-Z(]|\[|__|@|%%|##\w|<<|#\{|\{[a-z]|space|oops|sorry|whoops|find|脚本"
 )
 
 

@@ -2,4 +2,13 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_SHINGLES = (
+    "WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM kb_documents), "
+    "s AS (SELECT id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS s FROM t WHERE len(w) >= 30), "
+    "u AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s) "
+)
+
+ORACLES: dict[str, str] = {
+    "p5_found": _SHINGLES
+    + "SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS both FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY ALL) WHERE both >= 0.6::DOUBLE * (na + nb - both)",
+}
