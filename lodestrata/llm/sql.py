@@ -10,5 +10,5 @@ _SHINGLES = (
 
 ORACLES: dict[str, str] = {
     "p5_found": _SHINGLES
-    + "SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS both FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY ALL) WHERE both >= 0.6::DOUBLE * (na + nb - both)",
+    + "SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY ALL) WHERE common >= 0.6::DOUBLE * (na + nb - common)",
 }
