@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.session import cut
 
 from . import retrieve as R
 
@@ -30,7 +31,7 @@ def reciprocal(rank: Column) -> Column:
 
 def ranks(chunks: DataFrame, query: str, vector: list[float], most: int, suffixes: list[str]) -> DataFrame:
     """(chunk_id, v, f, l, m): each retriever's rank up to ``most``; l only where full text found nothing."""
-    full = R.full_text(chunks, query, most, suffixes).select("chunk_id", F.col("rank").alias("f"))
+    full = cut(R.full_text(chunks, query, most, suffixes).select("chunk_id", F.col("rank").alias("f")))  # read twice, at most ``most`` rows
     none = full.agg(F.count("*").alias("found"))
     fallback = R.substring_match(chunks, query, most, suffixes).crossJoin(F.broadcast(none)).where("found = 0").select("chunk_id", F.col("rank").alias("l"))  # one row
     parts = [
@@ -44,13 +45,13 @@ def ranks(chunks: DataFrame, query: str, vector: list[float], most: int, suffixe
 
 def at_step(candidates: DataFrame, limit: int) -> DataFrame:
     """The candidates at the first step of the ladder that has ``limit`` of them, ranks beyond it blank."""
-    steps = ladder(limit)
+    steps, candidates = ladder(limit), cut(candidates)  # at most four times the ladder's last step
     least = F.least(*[F.coalesce(c, F.lit(2**31 - 1)) for c in ("v", "f", "l", "m")])
     counts = candidates.agg(*[F.count_if(least <= s).alias(f"n{s}") for s in steps])
     chosen = reduce(lambda rest, s: F.when(F.col(f"n{s}") >= limit, s).otherwise(rest), reversed(steps[:-1]), F.lit(steps[-1]))
-    cut = candidates.crossJoin(F.broadcast(counts.select(chosen.alias("step"))))  # one row
+    stepped = candidates.crossJoin(F.broadcast(counts.select(chosen.alias("step"))))  # one row
     blank = [F.when(F.col(c) <= F.col("step"), F.col(c)).alias(c) for c in ("v", "f", "l", "m")]
-    return cut.where(least <= F.col("step")).select("chunk_id", *blank, "step")
+    return stepped.where(least <= F.col("step")).select("chunk_id", *blank, "step")
 
 
 def boost(query: str) -> Column:
