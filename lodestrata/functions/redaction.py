@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 MASK = "[REDACTED]"
 # Query parameters whose values are secret.
-SENSITIVE = ("access_token", "api_key", "apikey", "auth", "authorization", "code", "key", "password", "secret", "sig", "signature", "token")
+SENSITIVE = (
+    "token", "access_token", "api_key", "key", "signature", "sig", "auth", "authorization", "x-amz-signature", "x-amz-credential", "x-amz-security-token",
+)
 _URL_IN_TEXT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s<>'\"`]+")
 _PARTS = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):\/\/([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
 
@@ -109,8 +111,8 @@ def chunk_path(url: Column) -> Column:
 
 # Extensions and paths that hold no page.
 NON_HTML = (
-    "7z", "avi", "bmp", "css", "csv", "doc", "docx", "eot", "gif", "gz", "ico", "jpeg", "jpg", "js", "json", "mkv", "mov", "mp3", "mp4", "pdf", "png", "ppt", "pptx",
-    "rar", "svg", "tar", "tgz", "ttf", "wasm", "wav", "webm", "webp", "woff", "woff2", "xls", "xlsx", "xml", "zip",
+    "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "mjs", "cjs", "map", "json", "xml", "pdf", "zip", "gz", "tgz", "tar", "rar", "7z",
+    "woff", "woff2", "ttf", "otf", "eot", "mp4", "webm", "mp3", "wav",
 )
 NOISE_PATHS = ("/robots.txt", "/sitemap.xml")
 NOISE_PREFIXES = ("/assets/", "/static/", "/img/", "/images/", "/_next/", "/favicon")

@@ -11,19 +11,19 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Suffixes of binary files, names of folders and files that are never read.
+# Suffixes of files that are never read, folder and file names likewise, languages by suffix.
 BINARY = (
-    ".7z", ".a", ".avif", ".bin", ".bmp", ".class", ".dll", ".dylib", ".exe", ".gif", ".gz", ".ico", ".jar", ".jpeg", ".jpg", ".lock", ".mov", ".mp3", ".mp4", ".o",
-    ".otf", ".pdf", ".png", ".so", ".tar", ".ttf", ".wasm", ".webp", ".woff", ".woff2", ".zip",
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".pdf", ".zip", ".gz", ".tar", ".tgz", ".mp3", ".mp4", ".mov", ".wav", ".woff", ".woff2", ".ttf", ".eot",
+    ".so", ".dll", ".dylib", ".exe", ".bin", ".class", ".jar", ".wasm", ".sqlite", ".db", ".lock",
 )
 SKIPPED_FOLDERS = (
-    ".cache", ".git", ".gradle", ".hg", ".idea", ".mypy_cache", ".next", ".nuxt", ".pytest_cache", ".svn", ".tox", ".turbo", ".venv", ".vscode", "__pycache__", "build", "coverage",
-    "dist", "node_modules", "out", "target", "vendor", "venv",
+    ".git", ".hg", ".svn", ".idea", ".vscode", ".next", ".nuxt", ".parcel-cache", ".svelte-kit", ".turbo", ".cache", ".venv", "venv", "__pycache__", "node_modules",
+    "dist", "build", "coverage", "vendor", "target", "out", "tmp", "temp",
 )
-SKIPPED_FILES = (".ds_store", "bun.lock", "bun.lockb", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
+SKIPPED_FILES = (".ds_store", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb")
 LANGUAGES = {
-    "c": "c", "cpp": "cpp", "cs": "csharp", "go": "go", "h": "c", "java": "java", "js": "javascript", "jsx": "javascript", "json": "json", "md": "markdown", "py": "python",
-    "rb": "ruby", "rs": "rust", "sh": "bash", "ts": "typescript", "tsx": "typescript", "yml": "yaml",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "json": "json", "rs": "rust", "py": "python", "go": "go", "md": "markdown",
+    "mdx": "markdown", "toml": "toml", "yaml": "yaml", "yml": "yaml", "sh": "shell", "bash": "shell", "zsh": "shell", "txt": "text",
 }
 MOST_BYTES = 262144
 

@@ -26,8 +26,8 @@ def test_sections_and_windows():
 
 
 def test_code_pieces_carry_their_symbols():
-    code = "export function firstFeature() {\n  return 1;\n}\n\nexport function secondFeature() {\n  return 2;\n}\n"
-    assert [s for s, _ in chunking.code_pieces(code, "example.ts", "typescript", 50)] == ["example.ts · firstFeature", "example.ts · secondFeature"]
+    code = "export function openDoor() {\n  return 1;\n}\n\nexport function closeDoor() {\n  return 2;\n}\n"
+    assert [s for s, _ in chunking.code_pieces(code, "example.ts", "typescript", 50)] == ["example.ts · openDoor", "example.ts · closeDoor"]
     long = "function foo() {\n" + "  call(1);\n" * 30 + "}\n"
     got = chunking.code_pieces(long, "example.ts", "typescript", 80)
     assert len(got) > 1 and {s for s, _ in got} == {"example.ts · foo"}
@@ -35,9 +35,9 @@ def test_code_pieces_carry_their_symbols():
 
 
 def test_stitching(spark):
-    rows = [(1, 0, "Legacy content starts here"), (1, 1, " starts here and continues there"), (2, 0, "a"), (2, 1, "b"), (2, 1, "b"), (3, 0, None)]
+    rows = [(1, 0, "An older text begins here"), (1, 1, " begins here and goes on after it"), (2, 0, "a"), (2, 1, "b"), (2, 1, "b"), (3, 0, None)]
     got = dict(chunking.stitch(spark.createDataFrame(rows, "document_id long, chunk_index int, content string")).collect())
-    assert got == {1: "Legacy content starts here and continues there", 2: "a\n\nb", 3: ""}
+    assert got == {1: "An older text begins here and goes on after it", 2: "a\n\nb", 3: ""}
 
 
 def test_retrievers_break_ties_by_id(spark):
@@ -77,7 +77,7 @@ def test_crawl_depth_and_cap(spark):
 
 
 def test_asking_with_repair(spark):
-    c = corpus(spark, [(1, 1, "a.md", "", "gemini search agents work"), (2, 2, "b.md", "", "tavily agents")])
+    c = corpus(spark, [(1, 1, "a.md", "", "solar search agents work"), (2, 2, "b.md", "", "lunar agents")])
     search = lambda q: fusion.search(c, q, E4.embed_query(q), 3)
     model = evidence.Scripted([{"queries": ["agents"], "enough": True}], [{"citation_ids": [999]}, {"answer": "yes", "citations": [{"evidence_id": 1, "quote": "not there"}]}])
     got = evidence.ask(c, "agents", model, search, steps=2)
