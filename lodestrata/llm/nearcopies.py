@@ -1,16 +1,17 @@
-"""Near-duplicate records: Order MinHash candidates, verified by banded alignment and by exact counts.
-
-Method: a record's k-mers (runs of words, labelled by occurrence) are hashed; each of ``rows``
-hash functions samples the ``order`` smallest and keeps them in text order, so that a sketch is
-equal only where content and order agree. Equal sketches make candidates. K-mers that stand in
-more than ``common`` of all records sort behind the others in every sample: phrases that half the
-collection uses then make no candidates, and the order stays the same for all records. How many
-records use a k-mer is counted over all of them, in a table of fixed size. A banded alignment of
-the words shows how many k-mers both share in order; where that already reaches the threshold the
+"""Near-duplicate records: MinHash candidates, verified by banded alignment and by exact counts.
+
+Method: a record's distinct k-mers (runs of words) are hashed; each of ``rows`` hash functions
+samples the ``order`` smallest, and the set of them is a sketch. Two equal sketches make a
+candidate. No k-mer is left out for being common and no bucket is cut: in a large family of near
+copies every pair is a candidate, and phrases that half the collection uses make few candidates,
+as all ``order`` minima must be shared. At a similarity of exactly 0.6 a pair is missed with a
+probability of about 0.00002, in whatever order its sections stand. A banded alignment of the
+words shows how many k-mers both share in order; where that already reaches the threshold the
 pair is accepted, else (moved sections) the shared distinct k-mers are counted.
 
-Exact copies (equal word sequences) form a class first; only one record per class is sketched, so
-that a class that holds a third of all rows costs one sketch. Links run between representatives.
+Exact copies (equal word sequences) form a class first; the sketches of one record per class go
+on, so that a class that holds a third of all rows makes no pairs. Links run between
+representatives.
 
 Defined results for odd input: null, empty and short texts (fewer than ``least`` words) have no
 links; rows delivered twice (same id) count once; ties go to the smaller id; extra columns are
@@ -30,22 +31,6 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, shingle_hashes, word_hashes, words_of
 
 
-def _labelled(h: np.ndarray) -> np.ndarray:
-    """Each k-mer's hash mixed with the number of equal k-mers before it."""
-    s = np.sort(h)
-    if (s[1:] != s[:-1]).all():
-        return h
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.r_[True, s[1:] != s[:-1]]
-    starts = np.flatnonzero(first)
-    nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.r_[starts, len(s)]))
-    out = np.empty_like(h)
-    with np.errstate(over="ignore"):
-        out[order] = np.where(nth > 0, mix64(s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), s)
-    return out
-
-
 #: Cells of the table that counts the records using a k-mer (4 MB as 32-bit counts, at any input size).
 _CELLS = 1 << 20
 _BLOCK = 1 << 13
@@ -81,46 +66,31 @@ def common_kmers(worded: DataFrame, k: int, share: float, floor: int = 20) -> np
     return np.concatenate([got[i] for i in range(_CELLS // _BLOCK)]) > most
 
 
-class OrderMinHash:
-    """``rows`` sketches of ``order`` minima each, one 64-bit key a sketch."""
+class MinHash:
+    """``rows`` sketches of ``order`` minima each over the distinct k-mers, one 64-bit key a sketch."""
 
     def __init__(self, rows: int, order: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.rows, self.order = rows, order
+        self.order = order
         self.mul = (rng.integers(1, 2**31, size=rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)[:, None]
         self.add = rng.integers(0, 2**32, size=rows, dtype=np.uint64).astype(np.uint32)[:, None]
         self.salt = mix64(np.arange(1, rows + 1, dtype=np.uint64))
 
-    def keys(self, kmers: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-        if common is not None:
-            # common k-mers sort behind all others: they are never sampled where enough others are left
-            rare = kmers[~common[(kmers & np.uint64(_CELLS - 1)).astype(np.int64)]]
-            if len(rare) >= self.order:
-                kmers, common = rare, None
-        h = _labelled(kmers)
-        n = len(h)
-        if n < self.order:
+    def keys(self, kmers: np.ndarray) -> np.ndarray:
+        x = np.unique((kmers >> np.uint64(32)).astype(np.uint32) ^ kmers.astype(np.uint32))
+        if len(x) < self.order:
             return np.empty(0, dtype=np.uint64)
-        x = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)
         with np.errstate(over="ignore"):
+            # every step is a bijection of 32 bits, so that equal minima are equal k-mers
             m = x[None, :] * self.mul + self.add
             m ^= m >> np.uint32(15)
             m *= np.uint32(0x2C1B3C6D)
-        # the position in the low bits makes the minima's places known; it also breaks ties
-        bits = np.uint64(max(1, int(n - 1).bit_length()))
-        packed = m.astype(np.uint64)
-        packed <<= bits
-        packed |= np.arange(n, dtype=np.uint64)[None, :]
-        if common is not None:
-            packed |= common[(kmers & np.uint64(_CELLS - 1)).astype(np.int64)].astype(np.uint64)[None, :] << np.uint64(63)
-        if n > self.order:
-            packed.partition(self.order - 1, axis=1)
-        places = np.sort(packed[:, : self.order] & ((np.uint64(1) << bits) - np.uint64(1)), axis=1)
-        picked = h[places.astype(np.int64)]
-        with np.errstate(over="ignore"):
+            if len(x) > self.order:
+                m.partition(self.order - 1, axis=1)
+            least = np.sort(m[:, : self.order], axis=1).astype(np.uint64)
             key = self.salt.copy()
             for j in range(self.order):
-                key = mix64(key * np.uint64(31) + picked[:, j])
+                key = mix64(key * np.uint64(31) + least[:, j])
         return key
 
 
@@ -167,36 +137,28 @@ def similarity(a: str, b: str, k: int, least: int, band: int, threshold: float)
 
 
 def near_copies(
-    df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8, least: int = 30, rows: int = 56, order: int = 2, band: int = 64, common: float = 0.002
+    df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8, least: int = 30, rows: int = 56, order: int = 3, band: int = 64
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, class_id) of the classes of equal word sequences, and links
     (class_a, class_b, edit_similarity, similarity) between classes at or above the threshold."""
-    sketcher = OrderMinHash(rows, order)
+    sketcher = MinHash(rows, order)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
 
-    def to_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, t in zip(b["id"], b["t"]):
                 words = words_of(t) if isinstance(t, str) else []
                 if len(words) >= least:
                     same = xxhash.xxh3_128_digest("\x00".join(words).encode("utf-8", "surrogatepass"))
-                    out.append((i, same, word_hashes(words).astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "same", "words"])
-
-    worded = cut(texts.mapInPandas(to_words, "id long, same binary, words binary"))
-    used = df.sparkSession.sparkContext.broadcast(np.packbits(common_kmers(worded, k, common)))
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = np.unpackbits(used.value).astype(bool)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "keys": [sketcher.keys(_kmers(w, k), often).view(np.int64) for w in b["words"]]})
+                    out.append((i, same, sketcher.keys(shingle_hashes(word_hashes(words), k)).view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "same", "keys"])
 
-    classes = worded.groupBy("same").agg(F.min("id").alias("class_id"))
-    members = worded.select("id", "same").distinct().join(classes, "same").select("id", "class_id")
+    sketched = cut(texts.mapInPandas(sketch, "id long, same binary, keys array<long>"))
+    classes = sketched.groupBy("same").agg(F.min("id").alias("class_id"))
+    members = sketched.select("id", "same").distinct().join(classes, "same").select("id", "class_id")
     # one record of each class stands for it, and once only
-    sketched = worded.select("id", "words").mapInPandas(sketch, "id long, keys array<long>")
-    keyed = sketched.join(classes.select(F.col("class_id").alias("id")), "id").groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("key"))
+    keyed = sketched.groupBy("same").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")).select("id", F.explode("keys").alias("key"))
     a, b = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
     # two equal sketches at least: one alone is mostly chance
     pairs = cut(a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"))

@@ -191,6 +191,24 @@ def test_a_large_class_of_copies_is_sketched_once(spark):
     assert members.where("class_id = 0").count() == 40 and links.count() == 0
 
 
+def test_a_large_family_of_edited_copies_keeps_its_links(spark):
+    rng = random.Random(12)
+    base, texts = words(rng, 120), []
+    for _ in range(300):
+        v = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            v[rng.randrange(len(v))] = rng.choice(words(rng, 1))
+        texts.append(" ".join(v))
+    # copies of one text, which are more than the limit of common k-mers, and edited ones of it
+    other = words(rng, 80)
+    texts += [" ".join(other)] * 40 + [" ".join(other[:n] + ["changed"] + other[n + 1 :]) for n in (10, 40, 70)]
+    texts += [" ".join(words(rng, 100)) for _ in range(100)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(words_of, texts)]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in nearcopies.found(docs(spark, [(i, "s", "x", t) for i, t in enumerate(texts)])).collect()}
+    assert not got - want and len(want) > 10_000 and len(got) >= 0.999 * len(want)
+
+
 def test_banded_alignment_with_a_wide_band_is_exact():
     rng = random.Random(4)
     for _ in range(200):
