@@ -1,8 +1,12 @@
 """Generated, minified and vendored source files, and data saved as code.
 
-Method: each file is tokenised; identifiers are masked, literals keep their values, comments are
-dropped. Shingles of the masked tokens are sketched by MinHash and banded; candidates are verified
-by the share of common shingles. Clusters across repositories (source keys) are vendored copies.
+Method: runs of three words of a file without its comments are sketched by MinHash, 96 sketches of
+three minima; none is left out for being common, so that a library in any number of repositories
+is found. Files with equal runs of words are one class, settled by a group-by; classes that share
+a sketch are verified by the share of common runs of words as written, comments included. Copies
+across repositories (source keys) are vendored. At a share of exactly 0.45, equal without comments,
+a pair is missed with a probability of about 0.0001. Files of fewer than four distinct runs of eight
+tokens (identifiers masked) are too small to tell copies by.
 Within a repository, families of statements that are equal once literals are masked too, numbered
 on and on, show a generator, as does a generator's own statement in the file's head. Files whose
 tokens are nearly all literals are data; code packed into lines without blanks is minified.
@@ -20,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CODE_SUFFIXES, cut, mix64, shingle_hashes, word_hashes, words_of
-from .nearcopies import _CELLS, _kmers, common_kmers
+from .common import CODE_SUFFIXES, cut, shingle_hashes, word_hashes, words_of
+from .nearcopies import MinHash
 
 _TOKEN = re.compile(
     r"""(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*|^[ \t]*\#(?!\s*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|error|line)\b)[^\n]*)"""
@@ -109,8 +114,8 @@ def family_share(lines: list[str]) -> tuple[float, int]:
     return sum(n for _, n in shapes.most_common(2)) / total, running
 
 
-def judge(path: str, language: str, text: str) -> tuple[str | None, list[str]]:
-    """(reason found in the file itself or None, its masked tokens)."""
+def judge(path: str, language: str, text: str) -> tuple[str | None, list[str], str]:
+    """(reason found in the file itself or None, its masked tokens, its text without comments)."""
     p = profile(text)
     n = sum(len(x.strip()) for x in p["lines"])
     reason = None
@@ -135,30 +140,19 @@ def judge(path: str, language: str, text: str) -> tuple[str | None, list[str]]:
             reason = "data"
         if reason is None and (_OTHERS.search(p["head"]) is not None):
             reason = "vendored"
-    return reason, p["tokens"]
+    return reason, p["tokens"], p["body"]
 
 
-def _bands(kmers: np.ndarray, common: np.ndarray, bands: int, width: int) -> np.ndarray:
-    """MinHash bands of the distinct shingles that aren't common to many files, one key a band."""
-    s = np.unique(kmers[~common[(kmers & np.uint64(_CELLS - 1)).astype(np.int64)]])
-    if len(s) < 4:
-        return np.empty(0, dtype=np.uint64)
-    rng = np.random.default_rng(5)
-    mul = rng.integers(1, 2**62, size=bands * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        least = (s[None, :] * mul[:, None]).min(axis=1)
-        key = mix64(np.arange(1, bands + 1, dtype=np.uint64))
-        for j in range(width):
-            key = mix64(key * np.uint64(31) + least[j::width])
-    return key
+def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4) -> DataFrame:
+    """(id, source_key, folder, reason, keys, same, shingles) of the code files, one row an id.
 
-
-def profiles(documents: DataFrame) -> DataFrame:
-    """(id, source_key, folder, reason, words, shingles) of the code files, one row an id.
-
-    words: hashes of the masked tokens; shingles: distinct runs of three words as written.
+    keys: sketches of the text without comments, none for files that aren't compared; shingles:
+    distinct runs of three words as written; same: their digest.
     """
 
+    def runs(text: str) -> np.ndarray:
+        return shingle_hashes(word_hashes(words_of(text)), 3)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -166,65 +160,75 @@ def profiles(documents: DataFrame) -> DataFrame:
                 if not isinstance(t, str) or not t.strip():
                     continue
                 path = p or ""
-                reason, tokens = judge(path, lang or "", t)
+                reason, tokens, body = judge(path, lang or "", t)
                 if reason is None and _NAMED_MADE.search(path):
                     reason = "generated"
                 if reason is None and _THIRD.search(path):
                     reason = "vendored"
-                words = word_hashes(tokens).astype(np.uint32).tobytes() if reason is None or reason == "vendored" else b""
-                plain = np.unique(shingle_hashes(word_hashes(words_of(t)), 3).astype(np.uint32)).tobytes() if words else b""
-                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, words, plain))
-            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "words", "shingles"])
+                keys, plain = np.empty(0, dtype=np.uint64), b""
+                if (reason is None or reason == "vendored") and len(np.unique(shingle_hashes(word_hashes(tokens), k))) >= least:
+                    keys = sketcher.keys(runs(body))
+                if len(keys):
+                    plain = np.unique(runs(t).astype(np.uint32)).tobytes()
+                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, keys.view(np.int64), xxhash.xxh3_128_digest(plain), plain))
+            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "keys", "same", "shingles"])
 
     suffix = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1))
     code = documents.where(suffix.isin(*CODE_SUFFIXES) & F.col("id").isNotNull() & F.col("content").isNotNull())
-    schema = "id long, source_key string, folder string, reason string, words binary, shingles binary"
+    schema = "id long, source_key string, folder string, reason string, keys array<long>, same binary, shingles binary"
     return code.select(F.col("id").cast("long"), "source_key", "path", "language", "content").mapInPandas(run, schema).dropDuplicates(["id"])
 
 
-def origins(documents: DataFrame, threshold: float = 0.45, k: int = 8, bands: int = 32, width: int = 2, common: float = 0.002, family: float = 0.85, family_least: int = 10) -> DataFrame:
+def origins(documents: DataFrame, threshold: float = 0.45, k: int = 8, rows: int = 96, order: int = 3, family: float = 0.85, family_least: int = 10) -> DataFrame:
     """(document_id, reason) of the files that aren't hand-written here.
 
-    A file meets, per band, the first file of the least and of the greatest other source there: a
-    bucket of any size gives two pairs a file, and every file of a family of copies is judged.
+    A class meets, per sketch, the first and the last class of the bucket, so that a family of any
+    size gives two pairs a class and sketch.
     """
-    prof = cut(profiles(documents))
-    open_ = prof.where("length(words) > 0")
-    used = documents.sparkSession.sparkContext.broadcast(np.packbits(common_kmers(open_, k, common)))
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = np.unpackbits(used.value).astype(bool)
-        for b in batches:
-            keys = [_bands(_kmers(w, k), often, bands, width).view(np.int64) for w in b["words"]]
-            yield pd.DataFrame({"id": b["id"], "source_key": b["source_key"], "keys": keys})
+    prof = cut(profiles(documents, MinHash(rows, order), k))
+    compared = prof.where("size(keys) > 0")
+    # files of equal words are one class; one that several sources hold is settled and may meet any other
+    classes = cut(
+        compared.groupBy("same").agg(
+            F.min("id").alias("id"), F.min("source_key").alias("source"), (F.min("source_key") != F.max("source_key")).alias("shared"),
+            F.min_by("keys", "id").alias("keys"), F.first("shingles").alias("shingles"),
+        )
+    )
+    buckets = cut(
+        classes.select(F.xxhash64("source").alias("source"), "id", F.expr("length(shingles) div 4").alias("n"), "shared", F.explode("keys").alias("key"))
+        .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("source", "id", "n", "shared"))).alias("m"))
+        .where("size(m) > 1").where("m[0].source <> element_at(m, -1).source or exists(m, x -> x.shared)").select("m")
+    )
 
-    keyed = cut(open_.select("id", "source_key", "words").mapInPandas(sketch, "id long, source_key string, keys array<long>").select("id", "source_key", F.explode("keys").alias("key")))
-    buckets = keyed.groupBy("key").agg(F.min(F.struct("source_key", "id")).alias("lo"), F.max(F.struct("source_key", "id")).alias("hi")).where("lo.source_key <> hi.source_key")
-    meet = keyed.join(buckets, "key").select("id", F.explode(F.array(F.when(F.col("source_key") != F.col("lo.source_key"), F.col("lo.id")), F.when(F.col("source_key") != F.col("hi.source_key"), F.col("hi.id")))).alias("other"))
-    pairs = meet.where("other is not null").distinct()
+    def met(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (x, o) of a bucket that could be copies of one another."""
+        alike = F.least("x.n", "o.n") >= threshold * F.greatest("x.n", "o.n")
+        pairs = pairs.where("x.id <> o.id").where("x.source <> o.source or x.shared or o.shared").where(alike)
+        return cut(pairs.select(F.least("x.id", "o.id").alias("a"), F.greatest("x.id", "o.id").alias("b")).distinct())
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
-            for i, x, y in zip(b["id"], b["s"], b["o"]):
+            for i, j, x, y in zip(b["a"], b["b"], b["s"], b["o"]):
                 s, o = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
                 shared = len(np.intersect1d(s, o, assume_unique=True))
                 if shared >= threshold * max(1, len(s) + len(o) - shared):
-                    keep.append(i)
+                    keep += [i, j]
             yield pd.DataFrame({"id": pd.Series(keep, dtype="int64")})
 
-    sets = open_.select("id", "shingles")
-    met = (
-        pairs.join(sets.withColumnRenamed("shingles", "s"), "id")
-        .join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("o")), "other")
-        .select("id", "s", "o")
-        .mapInPandas(verify, "id long")
-        .select("id", F.lit("vendored").alias("reason"))
-    )
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = classes.select("id", "shingles")
+        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "o"), "b")
+        return cut(both.select("a", "b", "s", "o").mapInPandas(verify, "id long").distinct())
+
+    ends = met(buckets.select("m", F.explode("m").alias("x")).select("x", F.explode(F.array(F.expr("m[0]"), F.expr("element_at(m, -1)"))).alias("o")))
+    settled = classes.where("shared").select("id").unionByName(verified(ends)).distinct()
+    copies = classes.select("id", "same").join(settled, "id", "left_semi").select("same")
+    met_files = compared.join(copies, "same", "left_semi").select("id", F.lit("vendored").alias("reason"))
     own = prof.where("reason is not null").select("id", "reason")
     folders = prof.groupBy("folder").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isin("generated", "minified", "data")).alias("made")).where((F.col("n") >= family_least) & (F.col("made") >= family * F.col("n")))
     kin = prof.where("reason is null").join(folders.select("folder"), "folder", "left_semi").select("id", F.lit("generated").alias("reason"))
-    return own.unionByName(met).unionByName(kin).groupBy(F.col("id").alias("document_id")).agg(F.min("reason").alias("reason"))
+    return own.unionByName(met_files).unionByName(kin).groupBy(F.col("id").alias("document_id")).agg(F.min("reason").alias("reason"))
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -31,41 +31,6 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, shingle_hashes, word_hashes, words_of
 
 
-#: Cells of the table that counts the records using a k-mer (4 MB as 32-bit counts, at any input size).
-_CELLS = 1 << 20
-_BLOCK = 1 << 13
-
-
-def _kmers(words: bytes, k: int) -> np.ndarray:
-    """K-mer hashes of stored 32-bit word hashes."""
-    return shingle_hashes(mix64(np.frombuffer(words, dtype=np.uint32).astype(np.uint64)), k)
-
-
-def common_kmers(worded: DataFrame, k: int, share: float, floor: int = 20) -> np.ndarray:
-    """For each cell, whether the k-mers that fall into it stand in more than ``share`` of all records."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, n = np.zeros(_CELLS, dtype=np.int64), 0
-        for b in batches:
-            for w in b["words"]:
-                n += 1
-                cells[np.unique((_kmers(w, k) & np.uint64(_CELLS - 1)).astype(np.int64))] += 1
-        if n:
-            yield pd.DataFrame({"block": [-1], "counts": [np.array([n], dtype=np.int64).tobytes()]})
-            yield pd.DataFrame({"block": range(_CELLS // _BLOCK), "counts": [cells[i : i + _BLOCK].tobytes() for i in range(0, _CELLS, _BLOCK)]})
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
-
-    schema = "block int, counts binary"
-    got = {r["block"]: np.frombuffer(r["counts"], dtype=np.int64) for r in worded.select("words").mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema).collect()}
-    if not got:
-        return np.zeros(_CELLS, dtype=bool)
-    most = max(floor, share * int(got[-1][0]))
-    return np.concatenate([got[i] for i in range(_CELLS // _BLOCK)]) > most
-
-
 class MinHash:
     """``rows`` sketches of ``order`` minima each over the distinct k-mers, one 64-bit key a sketch."""
 

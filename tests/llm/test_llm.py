@@ -154,6 +154,23 @@ def test_code_origins(spark):
     assert codeorigin.found(docs(spark, rows).where("false")).count() == 0
 
 
+def test_a_library_in_many_sources(spark):
+    rng = random.Random(21)
+    library = code(rng, 30)
+    edited = ["\n".join(f"{x} + more{n}" if k % 20 == n % 20 else x for k, x in enumerate(library.split("\n"))) for n in range(30)]
+    licence = "# " + " ".join(words(rng, 300)) + "\n"
+    rows = [(n, f"s{n}", f"src/a{n}.py", library) for n in range(40)] + [(100 + n, f"t{n}", f"lib/b{n}.py", t) for n, t in enumerate(edited)]
+    # a licence that hand-written files share, each with names of its own, makes no copies
+    for n in range(30):
+        own = code(rng, 8)
+        for w in "river lake stone cloud ember field north green quiet".split():
+            own = own.replace(w, words(rng, 1)[0] + str(n))
+        rows.append((200 + n, f"u{n}", f"app/c{n}.py", licence + own))
+    rows += [(300, "v", "x.py", "a = 1\n"), (301, "w", "x.py", "a = 1\n")]
+    got = {r["document_id"] for r in codeorigin.origins(docs(spark, rows)).where("reason = 'vendored'").collect()}
+    assert got == {*range(40), *range(100, 130)}
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 
