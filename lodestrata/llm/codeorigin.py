@@ -182,8 +182,9 @@ def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4
 def origins(documents: DataFrame, threshold: float = 0.45, k: int = 8, rows: int = 96, order: int = 3, family: float = 0.85, family_least: int = 10) -> DataFrame:
     """(document_id, reason) of the files that aren't hand-written here.
 
-    A class meets, per sketch, the first and the last class of the bucket, so that a family of any
-    size gives two pairs a class and sketch.
+    A class meets, per sketch, the first and the last class of the bucket: that settles most of a
+    family of any size with two pairs a class and sketch. Classes not settled by it then meet all
+    others in their buckets.
     """
     prof = cut(profiles(documents, MinHash(rows, order), k))
     compared = prof.where("size(keys) > 0")
@@ -223,6 +224,10 @@ def origins(documents: DataFrame, threshold: float = 0.45, k: int = 8, rows: int
 
     ends = met(buckets.select("m", F.explode("m").alias("x")).select("x", F.explode(F.array(F.expr("m[0]"), F.expr("element_at(m, -1)"))).alias("o")))
     settled = classes.where("shared").select("id").unionByName(verified(ends)).distinct()
+    # classes not settled so meet all others of their buckets
+    open_ = classes.select("id").join(settled, "id", "left_anti")
+    rest = met(buckets.select("m", F.explode("m").alias("x")).withColumn("id", F.col("x.id")).join(open_, "id", "left_semi").select("x", F.explode("m").alias("o")))
+    settled = settled.unionByName(verified(rest.join(ends, ["a", "b"], "left_anti"))).distinct()
     copies = classes.select("id", "same").join(settled, "id", "left_semi").select("same")
     met_files = compared.join(copies, "same", "left_semi").select("id", F.lit("vendored").alias("reason"))
     own = prof.where("reason is not null").select("id", "reason")

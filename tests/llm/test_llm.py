@@ -1,6 +1,7 @@
 """Training-text operators: brute-force twins, round trips, and defined results for odd input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,22 @@ def test_a_library_in_many_sources(spark):
     assert got == {*range(40), *range(100, 130)}
 
 
+def test_copies_between_unrelated_ends_of_a_bucket(spark):
+    rng = random.Random(22)
+
+    def fresh(n):
+        return "\n".join(re.sub("river|lake|stone|cloud|ember|field|north|green|quiet", lambda m: "".join(rng.choices("abcdefghij", k=9)), x) for x in code(rng, n).split("\n")) + "\n"
+
+    rows = []
+    for g in range(0, 160, 10):
+        # the first and the last source hold long files that have only a part in common with the copies
+        part, own = fresh(24), fresh(6)
+        rows += [(g + 1, "a", f"a{g}.py", part + fresh(40)), (g + 2, "z", f"z{g}.py", part + fresh(40)), (g + 3, "m", f"m{g}.py", part + own), (g + 4, "n", f"n{g}.py", part + own + "print(1)\n")]
+    # one sketch a file: no other bucket makes up for one whose ends are unrelated
+    got = {r["document_id"] for r in codeorigin.origins(docs(spark, rows), rows=1, order=1).where("reason = 'vendored'").collect()}
+    assert got == {g + k for g in range(0, 160, 10) for k in (3, 4)}
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 
