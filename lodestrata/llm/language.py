@@ -230,32 +230,38 @@ _HAN, _LATIN = re.compile(r"[\u3400-\u9fff]"), re.compile(r"[A-Za-z]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 
 
-def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id", mixed: float = 0.9) -> DataFrame:
-    """(doc_id, block_no, n_chars, language_code, confidence) of each block of 60 characters or more.
+def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id", mixed: float = 0.9, every: bool = False) -> DataFrame:
+    """(doc_id, block_no, n_chars, language_code, confidence, fenced) of each plain block, or of every block that isn't blank.
+
+    Plain blocks have 60 characters or more, start with neither # nor a fence and stand outside
+    fences. A fence that nothing closes ends with its block.
 
     A block whose confidence is below ``mixed``, or that mixes scripts, is split into sentences, whose
     languages then vote by their characters.
     """
-    schema = "doc_id long, block_no long, n_chars long, language_code string, confidence double"
+    schema = "doc_id long, block_no long, n_chars long, language_code string, confidence double, fenced boolean"
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for b in batches:
-            ids, numbers, texts = [], [], []
+            ids, numbers, texts, fenced = [], [], [], []
             for i, t in zip(b["i"], b["t"]):
                 if not isinstance(t, str):
                     continue
-                inside = False
-                for k, block in enumerate(blocks(t), 1):
+                parts = blocks(t)
+                odd = [k for k, x in enumerate(parts) if "```" in x and sum(y.lstrip().startswith("```") for y in x.split("\n")) % 2]
+                # blocks from an opening fence to the one that closes it
+                within = {k for x, y in zip(odd[::2], odd[1::2]) for k in range(x + 1, y + 1)}
+                for k, block in enumerate(parts):
                     s = block.strip()
-                    fences = sum(x.lstrip().startswith("```") for x in block.split("\n")) if "```" in block else 0
-                    open_before, inside = inside, inside != (fences % 2 == 1)
-                    if open_before or len(s) < 60 or s.startswith(("#", "```")):
+                    code = k in within or s.startswith("```")
+                    if not s or not every and (code or len(s) < 60 or s.startswith("#")):
                         continue
                     ids.append(i)
-                    numbers.append(k)
+                    numbers.append(k + 1)
                     texts.append(s)
+                    fenced.append(code)
             got: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
             if m and texts:
                 p, has = m.many(texts)
@@ -276,17 +282,23 @@ def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id
                             got[n] = (m.codes[k] if share >= m.threshold else None, share)
             if ids:
                 codes = pd.Series([c for c, _ in got], dtype=object)
-                yield pd.DataFrame({"doc_id": ids, "block_no": numbers, "n_chars": [len(t) for t in texts], "language_code": codes, "confidence": [p for _, p in got]})
+                yield pd.DataFrame({"doc_id": ids, "block_no": numbers, "n_chars": [len(t) for t in texts], "language_code": codes, "confidence": [p for _, p in got], "fenced": fenced})
 
     picked = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     return picked.mapInPandas(run, schema)
 
 
-def document_languages(found_blocks: DataFrame) -> DataFrame:
-    """(doc_id, language_code, confidence): the language of most characters of each document."""
-    by = found_blocks.where("language_code is not null").groupBy("doc_id", "language_code").agg(F.sum("n_chars").alias("n"), F.sum(F.col("confidence") * F.col("n_chars")).alias("w"))
-    top = by.groupBy("doc_id").agg(F.max(F.struct("n", "language_code", "w")).alias("top"), F.sum("n").alias("total"))
-    return top.select("doc_id", F.col("top.language_code").alias("language_code"), F.round(F.col("top.w") / F.col("total"), 6).alias("confidence"))
+def document_languages(documents: DataFrame, found_blocks: DataFrame) -> DataFrame:
+    """(doc_id, language_code, confidence): the language of most characters of each document.
+
+    Fenced blocks count only where no other block has a language; where none has one, it is null
+    with confidence 0.
+    """
+    by = found_blocks.where("language_code is not null").groupBy("doc_id", "fenced", "language_code").agg(F.sum("n_chars").alias("n"), F.sum(F.col("confidence") * F.col("n_chars")).alias("w"))
+    sides = by.groupBy("doc_id", "fenced").agg(F.max(F.struct("n", "language_code", "w")).alias("top"), F.sum("n").alias("total"))
+    top = sides.groupBy("doc_id").agg(F.min_by(F.struct("top", "total"), "fenced").alias("of"))
+    ids = documents.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    return ids.join(top, "doc_id", "left").select("doc_id", F.col("of.top.language_code").alias("language_code"), F.coalesce(F.round(F.col("of.top.w") / F.col("of.total"), 6), F.lit(0.0)).alias("confidence"))
 
 
 def found(documents: DataFrame, sample: int = 300) -> DataFrame:

@@ -122,7 +122,7 @@ def _p9_languages(spark: SparkSession, d: str) -> DataFrame:
     from . import language
 
     documents = table(spark, d, "documents")
-    return language.document_languages(language.detect(documents, language.fit(documents)))
+    return language.document_languages(documents, language.detect(documents, language.fit(documents), every=True))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -375,6 +375,20 @@ def test_languages(spark):
     assert language.found(odd.where("false")).count() == 0 and language.fit(odd) is None
 
 
+def test_every_document_and_block_gets_a_language(spark):
+    rng = random.Random(8)
+    long = {c: block(rng, c) for c in ("en", "de")}
+    rows = [(i, block(rng, c), c) for i, c in enumerate(list(SAMPLES) * 40, 100)]
+    odd = [(1, long["de"][:50], "de"), (2, "# " + long["de"], "de"), (3, "intro\n\n```\nx = 1\n\n" + long["de"] + "\n\n" + long["de"], "en"), (4, "12 34", "en"), (5, None, None), (6, "", "en"), (7, long["en"] + "\n\n```\na\n\n" + long["de"] * 3 + "\n```\n\nx", "en")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = language.fit(df, 60)
+    few = df.where("doc_id < 100")
+    got = {r["doc_id"]: (r["language_code"], r["confidence"]) for r in language.document_languages(few, language.detect(few, model, every=True)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "de", 2: "de", 3: "de", 4: None, 5: None, 6: None, 7: "en"} and got[5][1] == 0
+    # a fence that nothing closes hides no later block
+    assert {(r["doc_id"], r["block_no"]) for r in language.detect(few, model).collect()} == {(3, 3), (3, 4), (7, 1)}
+
+
 def test_label_spellings(spark):
     df = spark.createDataFrame([("EN",), (" zh-Hans ",), ("deu",), ("unknown",), ("",), (None,), ("pt_BR",)], "l string")
     assert [r[0] for r in df.select(language.label_code(F.col("l"))).collect()] == ["en", "zh", "de", None, None, None, "pt"]
