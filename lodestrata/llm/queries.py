@@ -24,7 +24,7 @@ def _p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     from . import secrets
 
-    return secrets.redact_secrets(table(spark, d, "kb_documents").select("id", "path", "content"), "content").distinct()
+    return secrets.redacted(table(spark, d, "kb_documents"), table(spark, d, "chunks"))
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:

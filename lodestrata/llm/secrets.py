@@ -261,6 +261,21 @@ def _base64_pair(value: str, words: frozenset[str]) -> bool:
     return bool(user and colon) and is_secret(password, True, True, False, words)
 
 
+def _held(text: str, words: frozenset[str], known: list[str] | None, piece: bool) -> dict[str, str]:
+    """Kind by secret value of a text; known: the secrets of the text that a piece was cut from."""
+    seen: dict[str, str] = {}
+    of_parent = set() if known is None else set(known)
+    if spotted(text):
+        for s, e, kind in scan(text, words, open_end=piece and not of_parent):
+            if of_parent and (s < 2 or e >= len(text) - 1) and text[s:e] not in of_parent:
+                continue
+            seen.setdefault(text[s:e], kind)
+    for k in of_parent:
+        if k in text:
+            seen.setdefault(k, "parent")
+    return seen
+
+
 def find_secrets(df: DataFrame, id_col: str, text_col: str, dictionary: str = DICTIONARY, parent_col: str | None = None, known_col: str | None = None) -> DataFrame:
     """(record_id, secret, kind) of each record; with ``parent_col`` also parent_id.
 
@@ -278,16 +293,7 @@ def find_secrets(df: DataFrame, id_col: str, text_col: str, dictionary: str = DI
             for i, p, t, ks in zip(b["i"], b["p"], b["t"], known):
                 if not isinstance(t, str) or not t:
                     continue
-                seen: dict[str, str] = {}
-                of_parent = set() if ks is None else set(ks)
-                if spotted(t):
-                    for s, e, kind in scan(t, words, open_end=known_col is not None and not of_parent):
-                        if of_parent and (s < 2 or e >= len(t) - 1) and t[s:e] not in of_parent:
-                            continue
-                        seen.setdefault(t[s:e], kind)
-                for k in of_parent:
-                    if k in t:
-                        seen.setdefault(k, "parent")
+                seen = _held(t, words, ks, known_col is not None)
                 rows += [(i, p, s, k) for s, k in seen.items()]
             yield pd.DataFrame(rows, columns=["record_id", "parent_id", "secret", "kind"])
 
@@ -318,11 +324,44 @@ def redact_secrets(df: DataFrame, text_col: str, out_col: str | None = None, dic
     return df.withColumn(out_col or text_col, clean(F.col(text_col)))
 
 
+def redact_everywhere(df: DataFrame, text_col: str, dictionary: str = DICTIONARY, known_col: str | None = None) -> DataFrame:
+    """``df`` with every occurrence of the values that ``find_secrets`` yields for the record replaced, the longest first."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, known: pd.Series) -> pd.Series:
+        words = vocabulary(dictionary)
+
+        def one(t, ks):
+            if not isinstance(t, str) or not t:
+                return t
+            values = sorted(_held(t, words, ks, known_col is not None), key=lambda v: (-len(v), v))
+            return re.sub("|".join(map(re.escape, values)), lambda _: REDACTED, t) if values else t
+
+        return pd.Series([one(t, ks) for t, ks in zip(texts, known)], index=texts.index, dtype=object)
+
+    known = F.col(known_col) if known_col else F.lit(None).cast("array<string>")
+    return df.withColumn(text_col, clean(F.col(text_col), known))
+
+
+def _known(whole: DataFrame) -> DataFrame:
+    return whole.groupBy("record_id").agg(F.collect_set("secret").alias("known")).withColumnRenamed("record_id", "document_id")
+
+
+def redacted(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(record_table, id, path, content) of both tables, secrets replaced; chunks have no path."""
+    known = _known(find_secrets(documents, "id", "content"))
+    pieces = redact_everywhere(chunks.select("id", "document_id", "content").join(known, "document_id", "left"), "content", known_col="known")
+    whole = redact_everywhere(documents.select("id", "path", "content"), "content")
+    return (
+        whole.select(F.lit("kb_documents").alias("record_table"), "id", "path", "content")
+        .unionByName(pieces.select(F.lit("chunks").alias("record_table"), "id", F.lit(None).cast("string").alias("path"), "content")).distinct()
+    )
+
+
 def found(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows of both tables with the secrets that stand in them."""
     whole = find_secrets(documents, "id", "content")
-    known = whole.groupBy("record_id").agg(F.collect_set("secret").alias("known")).withColumnRenamed("record_id", "document_id")
-    pieces = find_secrets(chunks.select("id", "document_id", "content").join(known, "document_id", "left"), "id", "content", known_col="known")
+    pieces = find_secrets(chunks.select("id", "document_id", "content").join(_known(whole), "document_id", "left"), "id", "content", known_col="known")
     return (
         whole.select(F.lit("kb_documents").alias("record_table"), "record_id", "secret")
         .unionByName(pieces.select(F.lit("chunks").alias("record_table"), "record_id", "secret"))

@@ -68,6 +68,15 @@ def test_secret_rows_and_redaction(spark):
     assert secrets.found(d.where("false"), c.where("false")).count() == 0
 
 
+def test_both_tables_are_redacted_everywhere(spark):
+    value = FAKE["password"]
+    d = docs(spark, [(1, "s", "a.py", f"password = '{value}'\nagain {value}\n"), (2, "s", "b.py", None), (3, "s", "c.py", "x = 1")])
+    c = spark.createDataFrame([(10, 1, f"again {value}\n"), (11, 1, None), (12, 9, f"password = '{value}' {value}"), (10, 1, f"again {value}\n")], "id long, document_id long, content string")
+    got = {(r["record_table"], r["id"]): r["content"] for r in secrets.redacted(d, c).collect()}
+    r = secrets.REDACTED
+    assert got == {("kb_documents", 1): f"password = '{r}'\nagain {r}\n", ("kb_documents", 2): None, ("kb_documents", 3): "x = 1", ("chunks", 10): f"again {r}\n", ("chunks", 11): None, ("chunks", 12): f"password = '{r}' {r}"}
+
+
 def test_viterbi_residual():
     known = frozenset({"lenient", "token", "mint", "blanket"})
     assert secrets.segment("lenienttoken", known) == 0 and secrets.segment("xqzlenient", known) == 3
