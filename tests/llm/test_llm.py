@@ -100,12 +100,45 @@ def test_page_differences(spark):
     rows = site(8, [(90, "u", "https://one.example/x", None, None, "", ""), (91, "u", None, None, " \n", "", ""), (92, "u", "https://solo.example/x", "T", "# T\n\nJust one sentence here.", "", "")])
     pages = spark.createDataFrame(rows + rows[:1], PAGES)
     got = {}
-    for r in boilerplate.differences(pages, large=3).where("furniture").collect():
+    for r in boilerplate.differences(pages).where("furniture").collect():
         got.setdefault(r["page_id"], set()).add(r["line_no"])
     assert got == {i: {1, 3, 4, 6, 16, 17, 18, 20, 21} for i in range(8)}
+    pages = pages.withColumn("html", F.lit(None).cast("string"))
     body = {r["page_id"]: r["body"] for r in boilerplate.main_body(pages).collect()}
-    assert body[92] == "# T\nJust one sentence here." and body[3].startswith("# Page 3 d\n") and "Home" not in body[3].split("```")[0]
-    assert boilerplate.differences(pages.where("false")).count() == 0
+    assert set(body) == {*range(8), 90, 91, 92} and body[90] is None and body[91] is None
+    assert body[92] == "# T\n\nJust one sentence here." and body[3].startswith("# Page 3 d\n\n") and "Home" not in body[3].split("```")[0]
+    assert body[3].endswith("\n\n```\nHome\n```")
+    assert boilerplate.differences(pages.where("false")).count() == 0 and boilerplate.main_body(pages.where("false")).count() == 0
+
+
+def test_neighbours_depend_on_neither_partitions_nor_copies(spark):
+    article = " ".join(["word"] * 30) + "."
+    # many copies of one article between the others, and a host whose URLs have no path
+    copies = [(100 + k, "u", f"https://h.example/a/003/{k:03}", "Same", f"[Skip](#main)\n\n# Same\n\n{article}\n\nLabel {k}x", "", "") for k in range(60)]
+    bare = [(300 + k, "u", f"https://h{k}.example", "B", "# B\n\nHome", "", "") for k in range(3)]
+    pages = spark.createDataFrame(site(12, copies + bare), PAGES)
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            seen.append(sorted(tuple(r) for r in boilerplate.differences(pages).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+    bad = {}
+    for i, line, furniture, _ in seen[0]:
+        bad.setdefault(i, set()).update({line} if furniture else ())
+    assert all(bad[i] == {1, 3, 4, 6, 16, 17, 18, 20, 21} for i in range(12)) and all(bad[100 + k] == {1} for k in range(60)) and not bad[300]
+
+
+def test_html_stands_in_for_markdown(spark):
+    html = "<html><head><title>x</title><script>var a;</script></head><body><nav><p>Home</p><p>Docs</p></nav><main><h1>Own {0}</h1><p>Body &lt;{0}&gt; of <a href='/x'>this</a> page, a sentence.</p><pre><code>\na  b\n\nc\n</code></pre><ul><li>one <code>x</code></li></ul></main></body></html>"
+    assert boilerplate.html_lines(html.format("k")) == "Home\nDocs\n\n# Own k\n\nBody <k> of [this](/x) page, a sentence.\n\n```\na  b\n\nc\n```\n\n- one `x`"
+    rows = [(k, "u", f"https://h.example/{k}", "Own " + "abcdef"[k], None if k % 2 else " ", html.format("abcdef"[k])) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, requested_url string, final_url string, title string, markdown string, html string")
+    body = {r["page_id"]: r["body"] for r in boilerplate.main_body(pages).collect()}
+    assert body[2] == "# Own c\n\nBody <c> of [this](/x) page, a sentence.\n\n```\na  b\n\nc\n```" and len(body) == 6
+    assert boilerplate.differences(pages).count() == 0
 
 
 def test_shared_lines_are_a_longest_common_subsequence():
