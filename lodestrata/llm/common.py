@@ -7,10 +7,12 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestrata.session import cut, table
 
-__all__ = ["CODE_SUFFIXES", "WORDS", "cut", "mix64", "shingle_hashes", "table", "word_hashes", "words_of"]
+__all__ = ["CODE_SUFFIXES", "WORDS", "bucket_pairs", "cut", "mix64", "shingle_hashes", "table", "word_hashes", "words_of"]
 
 #: Longest runs of letters and digits; an underscore separates.
 WORDS = re.compile(r"[^\W_]+")
@@ -67,14 +69,30 @@ CODE_SUFFIXES = (
 )
 
 
+def bucket_pairs(members: DataFrame, block: int = 512) -> DataFrame:
+    """(x, y) of all pairs within each bucket, x.id < y.id; members: (key, id, ...), distinct, best partitioned by key.
+
+    A bucket beyond ``block`` members is cut into blocks by a hash of the id, and each pair of
+    blocks meets in a task's cell of its own: at most ``block`` squared pairs at once, and none lost.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = members.join(sizes, "key")
+    row = F.struct(*[c for c in members.columns if c != "key"])
+    few = sized.where(F.col("n") <= block).select("key", row.alias("m"))
+    small = few.withColumnRenamed("m", "x").join(few.withColumnRenamed("m", "y"), "key")
+    blocks = F.ceil(F.col("n") / block)
+    many = sized.where(F.col("n") > block).select("key", row.alias("m"), F.pmod(F.xxhash64("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
+    many = many.select("key", "m", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    left, right = many.withColumnsRenamed({"m": "x", "b": "bx"}), many.withColumnsRenamed({"m": "y", "b": "by"})
+    large = left.join(right, ["key", "lo", "hi"]).where((F.least("bx", "by") == F.col("lo")) & (F.greatest("bx", "by") == F.col("hi")))
+    return small.select("x", "y").unionByName(large.select("x", "y")).where("x.id < y.id")
+
+
 @functools.cache
 def vocabulary(path: str) -> frozenset[str]:
-    """Whole words (three letters or more) of a public tokenizer file; empty if it can't be read."""
+    """Whole words (three letters or more) of a public tokenizer file; an unreadable one is an error."""
     import json
 
-    try:
-        with open(path, encoding="utf-8") as f:
-            entries = json.load(f)["model"]["vocab"]
-    except (OSError, ValueError, KeyError):
-        return frozenset()
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
     return frozenset(w for e in entries if e.endswith("</w>") and len(w := e[:-4]) > 2 and w.isalpha())

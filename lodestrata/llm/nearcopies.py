@@ -9,9 +9,10 @@ probability of about 0.00002, in whatever order its sections stand. A banded ali
 words shows how many k-mers both share in order; where that already reaches the threshold the
 pair is accepted, else (moved sections) the shared distinct k-mers are counted.
 
-Exact copies (equal word sequences) form a class first; the sketches of one record per class go
-on, so that a class that holds a third of all rows makes no pairs. Links run between
-representatives.
+Exact copies (equal word sequences) form a class first; the sketches of each class go on once, so
+that a class that holds a third of all rows makes no pairs. Links run between representatives.
+Buckets of equal sketches that grow large are cut into blocks, each pair of which is a cell of its
+own, so that no sketch decides how much one task holds.
 
 Defined results for odd input: null, empty and short texts (fewer than ``least`` words) have no
 links; rows delivered twice (same id) count once; ties go to the smaller id; extra columns are
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, shingle_hashes, word_hashes, words_of
+from .common import bucket_pairs, cut, mix64, shingle_hashes, word_hashes, words_of
 
 
 class MinHash:
@@ -110,23 +111,33 @@ def near_copies(
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[int] = set()  # classes whose sketches this task has sent; only saves rows
         for b in batches:
             out = []
             for i, t in zip(b["id"], b["t"]):
                 words = words_of(t) if isinstance(t, str) else []
                 if len(words) >= least:
                     same = xxhash.xxh3_128_digest("\x00".join(words).encode("utf-8", "surrogatepass"))
-                    out.append((i, same, sketcher.keys(shingle_hashes(word_hashes(words), k)).view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "same", "keys"])
-
-    sketched = cut(texts.mapInPandas(sketch, "id long, same binary, keys array<long>"))
-    classes = sketched.groupBy("same").agg(F.min("id").alias("class_id"))
-    members = sketched.select("id", "same").distinct().join(classes, "same").select("id", "class_id")
-    # one record of each class stands for it, and once only
-    keyed = sketched.groupBy("same").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")).select("id", F.explode("keys").alias("key"))
-    a, b = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
+                    short = int.from_bytes(same[:8], "little", signed=True)
+                    keys = None
+                    if short not in sent:
+                        if len(sent) > 200_000:
+                            sent.clear()
+                        sent.add(short)
+                        keys = sketcher.keys(shingle_hashes(word_hashes(words), k)).view(np.int64)
+                    out.append((i, same, short, keys))
+            yield pd.DataFrame(out, columns=["id", "same", "short", "keys"])
+
+    sketched = cut(texts.mapInPandas(sketch, "id long, same binary, short long, keys array<long>"))
+    classes = cut(sketched.groupBy("same").agg(F.min("id").alias("class_id"), F.first("short").alias("short")))
+    members = sketched.select("id", "same").distinct().join(classes.select("same", "class_id"), "same").select("id", "class_id")
+    # a class goes by 64 bits of its digest here; two that share them are both verified below
+    keyed = sketched.where("keys is not null").select(F.explode("keys").alias("key"), F.col("short").alias("id")).repartition("key").distinct()
     # two equal sketches at least: one alone is mostly chance
-    pairs = cut(a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"))
+    met = bucket_pairs(keyed).groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("n")).where("n > 1")
+    by = classes.select("short", "class_id")
+    named = met.join(by.toDF("x", "c"), "x").join(by.toDF("y", "d"), "y")
+    pairs = cut(named.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,6 +161,12 @@ def classes_with_links(df: DataFrame, id_col: str = "id", text_col: str = "conte
     return members.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def class_links(df: DataFrame, id_col: str = "id", text_col: str = "content", **settings) -> DataFrame:
+    """(class_a, class_b, edit_similarity, similarity): the links between classes of different texts, each once."""
+    _, links = near_copies(df, id_col, text_col, **settings)
+    return links.select("class_a", "class_b", F.round("edit_similarity", 6).alias("edit_similarity"), F.round("similarity", 6).alias("similarity"))
+
+
 def found(documents: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b) of records at 0.6 or more on runs of three words, equal contents included."""
     members, links = near_copies(documents, "id", "content", k=3, threshold=0.6, least=30)

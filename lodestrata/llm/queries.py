@@ -70,6 +70,12 @@ def _p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.classes_with_links(table(spark, d, "kb_documents"))
 
 
+def _p5_links(spark: SparkSession, d: str) -> DataFrame:
+    from . import nearcopies
+
+    return nearcopies.class_links(table(spark, d, "kb_documents"))
+
+
 def _p6_found(spark: SparkSession, d: str) -> DataFrame:
     from . import splitter
 
@@ -135,6 +141,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_reasons": _p4_reasons,
     "p5_found": _p5_found,
     "p5_classes": _p5_classes,
+    "p5_links": _p5_links,
     "p6_found": _p6_found,
     "p6_pieces": _p6_pieces,
     "p7_packed": _p7_packed,

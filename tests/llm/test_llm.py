@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 llm = pytest.importorskip("lodestrata.llm")
 from lodestrata.llm import boilerplate, codeorigin, language, mixing, nearcopies, packing, residue, secrets, splitter  # noqa: E402
-from lodestrata.llm.common import vocabulary, words_of  # noqa: E402
+from lodestrata.llm.common import bucket_pairs, vocabulary, words_of  # noqa: E402
 
 DOCUMENTS = "id long, source_key string, source_kind string, source_locator string, canonical_locator string, path string, language string, title string, content_hash string, content string, created_at string, record_id string, t string, keys string"
 PAGES = "page_id long, requested_url string, final_url string, title string, markdown string, host string, part string"
@@ -285,6 +285,22 @@ def test_a_large_family_of_edited_copies_keeps_its_links(spark):
     assert not got - want and len(want) > 10_000 and len(got) >= 0.999 * len(want)
 
 
+def test_hot_buckets_lose_no_pair(spark):
+    rows = [(7, i) for i in range(60)] + [(8, i) for i in range(5)] + [(9, 1)]
+    members = spark.createDataFrame(rows, "key long, id long").repartition("key")
+    for block in (1, 7, 60, 1000):
+        got = sorted((r["x"]["id"], r["y"]["id"]) for r in bucket_pairs(members, block).collect())
+        assert got == sorted([(a, b) for a in range(60) for b in range(a + 1, 60)] + [(a, b) for a in range(5) for b in range(a + 1, 5)])
+
+
+def test_links_between_classes(spark):
+    w = words(random.Random(31), 200)
+    a, b = " ".join(w), " ".join(w[:100] + ["changed"] + w[101:])
+    rows = [(1, "s", "x", a), (2, "s", "x", a), (3, "s", "x", b), (4, "s", "x", " ".join(words(random.Random(32), 200)))]
+    (link,) = nearcopies.class_links(docs(spark, rows)).collect()
+    assert (link["class_a"], link["class_b"]) == (1, 3) and 0.9 < link["similarity"] < 1 and nearcopies.class_links(docs(spark, rows).where("false")).count() == 0
+
+
 def test_banded_alignment_with_a_wide_band_is_exact():
     rng = random.Random(4)
     for _ in range(200):
