@@ -1,15 +1,18 @@
 """Generated, minified and vendored source files, and data saved as code.
 
-Method: runs of three words of a file without its comments are sketched by MinHash, 96 sketches of
-three minima; none is left out for being common, so that a library in any number of repositories
-is found. Files with equal runs of words are one class, settled by a group-by; classes that share
-a sketch are verified by the share of common runs of words as written, comments included. Copies
-across repositories (source keys) are vendored. At a share of exactly 0.45, equal without comments,
-a pair is missed with a probability of about 0.0001. Files of fewer than four distinct runs of eight
-tokens (identifiers masked) are too small to tell copies by.
-Within a repository, families of statements that are equal once literals are masked too, numbered
-on and on, show a generator, as does a generator's own statement in the file's head. Files whose
-tokens are nearly all literals are data; code packed into lines without blanks is minified.
+Method: the tokens of a file without its comments, identifiers masked, give shingles of eight; MinHash
+banding over them (64 bands of the four least shingles) makes candidates, none left out for being
+common, so that a library in any number of repositories is found. Files with equal words are one
+class, settled by a group-by. Candidates are verified by their masked shingles, then by the words as
+written. Clusters across repositories (source keys) are vendored. Clusters within a repository whose
+members are equal in form and not in words are a generator's family; so are families of statements
+within one file, literals masked too, that are numbered on and on, or that make up nearly all of it.
+What is nothing but literals once identifiers are masked is data; code packed into lines without
+blanks is minified. A copy whose original isn't in the tables, or a single generated file, forms no
+cluster: there the signs by which tools and third parties mark their files (a statement in the head,
+a file name, a folder) stand in, and ``evidence`` says so. At a masked similarity of exactly 0.6 a pair
+shares no band with a probability of about 0.0001, at 0.7 of about 0.00000003 (computed). Files of
+fewer than four distinct shingles are too small to tell copies by.
 
 Defined results for odd input: null or empty content, prose and settings are no cases; files of
 any length are read whole; rows delivered twice count once; a file ingested again under a new id
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CODE_SUFFIXES, cut, shingle_hashes, word_hashes, words_of
+from .common import CODE_SUFFIXES, bucket_pairs, cut, shingle_hashes, word_hashes, words_of
 from .nearcopies import MinHash
 
 _TOKEN = re.compile(
@@ -49,6 +52,8 @@ _OTHERS = re.compile(
     r"(?i)^[\s/*#!;<-]*(?:imported unchanged from|copied (?:from|verbatim from)|vendored from|taken from|originally from|mirror of|[\w.-]+ (?:-|v|version) ?v?\d+\.\d+(?:\.\d+)?\b|[\w.-]+ - version \d|[\w.-]+ - \w+ \d+\.\d+\.\d+ - upstream)|send fixes upstream|\bupstream https?://|\(c\) the [\w.-]+ (?:makers|authors|contributors|team)"
 )
 _THIRD = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|third[_-]?party|3rd[_-]?party|_?vendored?|external|extern|contrib|deps|ext)/(?=[^/]+/)")
+# words of files that speak of such statements
+_SPEAKS = re.compile(r"(?i)\b(?:writes|prints|stamps|this script|not here|hand-?written|by hand;?)\b(?!: regenerate)")
 # File names that tools give to what they write.
 _NAMED_MADE = re.compile(r"(?i)(?:_pb2(?:_grpc)?\.py|\.pb(?:-c)?\.\w+|\.g\.\w+|[._]gen(?:erated)?\.\w+|\.tab\.[ch]|_string\.go|\.min\.(?:js|css)|\.bundle\.(?:js|css)|\.designer\.cs)$")
 
@@ -114,11 +119,11 @@ def family_share(lines: list[str]) -> tuple[float, int]:
     return sum(n for _, n in shapes.most_common(2)) / total, running
 
 
-def judge(path: str, language: str, text: str) -> tuple[str | None, list[str], str]:
-    """(reason found in the file itself or None, its masked tokens, its text without comments)."""
+def judge(path: str, language: str, text: str) -> tuple[str | None, str | None, list[str]]:
+    """(reason found in the file itself or None, the evidence, its masked tokens)."""
     p = profile(text)
     n = sum(len(x.strip()) for x in p["lines"])
-    reason = None
+    reason = evidence = None
     longest = max((len(x) for x in p["lines"]), default=0)
     if p["code"]:
         share, running = family_share(p["lines"])
@@ -126,33 +131,35 @@ def judge(path: str, language: str, text: str) -> tuple[str | None, list[str], s
         outside = len(re.sub(r"[\s,\[\]{}();:+-]", "", _LITERALS.sub("", p["body"])))
         data = 1 - outside / max(1, len(re.sub(r"\s", "", p["body"])))
         literal = p["literal"] / p["code"]
-        if _MADE.search(p["head"]) and not re.search(r"(?i)\b(?:writes|prints|stamps|this script|not here|hand-?written|by hand;?)\b(?!: regenerate)", "\n".join(x for x in p["head"].split("\n") if _MADE.search(x))):
-            reason = "generated"
-        elif running >= 6 and running >= 0.6 * len([x for x in p["lines"] if len(x.strip()) > 3]):
-            reason = "generated"
+        stated = "\n".join(x for x in p["head"].split("\n") if _MADE.search(x))
+        if running >= 6 and running >= 0.6 * len([x for x in p["lines"] if len(x.strip()) > 3]):
+            reason, evidence = "generated", "family"
         elif share >= 0.9 and len(p["lines"]) >= 8 and language not in ("bash", "sh"):
-            reason = "generated" if data < 0.9 else "data"
+            reason, evidence = ("generated", "family") if data < 0.9 else ("data", "literals")
+        elif stated and not _SPEAKS.search(stated):
+            reason, evidence = "generated", "head"
         elif data >= 0.85 and literal >= 0.55 and p["code"] >= 400:
-            reason = "data"
+            reason, evidence = "data", "literals"
         elif longest >= 250 and blanks < 0.08 and n >= 400 and sum(len(x) for x in p["lines"] if len(x) >= 250) >= 0.6 * n:
-            reason = "data" if literal >= 0.6 else "minified"
+            reason, evidence = ("data", "literals") if literal >= 0.6 else ("minified", "packed")
         elif longest >= 400 and literal >= 0.6:
-            reason = "data"
-        if reason is None and (_OTHERS.search(p["head"]) is not None):
-            reason = "vendored"
-    return reason, p["tokens"], p["body"]
+            reason, evidence = "data", "literals"
+        if reason is None and _OTHERS.search(p["head"]) is not None:
+            reason, evidence = "vendored", "head"
+    if reason is None and _NAMED_MADE.search(path):
+        reason, evidence = "generated", "name"
+    if reason is None and _THIRD.search(path):
+        reason, evidence = "vendored", "folder"
+    return reason, evidence, p["tokens"]
 
 
 def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4) -> DataFrame:
-    """(id, source_key, folder, reason, keys, same, shingles) of the code files, one row an id.
+    """(id, source_key, folder, reason, evidence, keys, same, masked, written) of the code files, one row an id.
 
-    keys: sketches of the text without comments, none for files that aren't compared; shingles:
-    distinct runs of three words as written; same: their digest.
+    keys: bands of the masked shingles, none for files that aren't compared; masked and written: the
+    distinct shingles of masked tokens, and of three words as written; same: the latter's digest.
     """
 
-    def runs(text: str) -> np.ndarray:
-        return shingle_hashes(word_hashes(words_of(text)), 3)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -160,80 +167,98 @@ def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4
                 if not isinstance(t, str) or not t.strip():
                     continue
                 path = p or ""
-                reason, tokens, body = judge(path, lang or "", t)
-                if reason is None and _NAMED_MADE.search(path):
-                    reason = "generated"
-                if reason is None and _THIRD.search(path):
-                    reason = "vendored"
-                keys, plain = np.empty(0, dtype=np.uint64), b""
-                if (reason is None or reason == "vendored") and len(np.unique(shingle_hashes(word_hashes(tokens), k))) >= least:
-                    keys = sketcher.keys(runs(body))
-                if len(keys):
-                    plain = np.unique(runs(t).astype(np.uint32)).tobytes()
-                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, keys.view(np.int64), xxhash.xxh3_128_digest(plain), plain))
-            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "keys", "same", "shingles"])
+                reason, evidence, tokens = judge(path, lang or "", t)
+                keys, masked, written = np.empty(0, dtype=np.uint64), b"", b""
+                if reason is None or reason == "vendored":
+                    shingles = shingle_hashes(word_hashes(tokens), k)
+                    form = np.unique(shingles.astype(np.uint32))
+                    if len(form) >= least:
+                        keys, masked = sketcher.keys(shingles), form.tobytes()
+                        written = np.unique(shingle_hashes(word_hashes(words_of(t)), 3).astype(np.uint32)).tobytes()
+                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, evidence, keys.view(np.int64), xxhash.xxh3_128_digest(written), masked, written))
+            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "evidence", "keys", "same", "masked", "written"])
 
     suffix = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1))
     code = documents.where(suffix.isin(*CODE_SUFFIXES) & F.col("id").isNotNull() & F.col("content").isNotNull())
-    schema = "id long, source_key string, folder string, reason string, keys array<long>, same binary, shingles binary"
+    schema = "id long, source_key string, folder string, reason string, evidence string, keys array<long>, same binary, masked binary, written binary"
     return code.select(F.col("id").cast("long"), "source_key", "path", "language", "content").mapInPandas(run, schema).dropDuplicates(["id"])
 
 
-def origins(documents: DataFrame, threshold: float = 0.45, k: int = 8, rows: int = 96, order: int = 3, family: float = 0.85, family_least: int = 10) -> DataFrame:
-    """(document_id, reason) of the files that aren't hand-written here.
+def _likeness(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, form, words): the shares of masked and of written shingles that both have."""
+
+    def share(x: bytes, y: bytes) -> float:
+        s, o = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+        both = len(np.intersect1d(s, o, assume_unique=True))
+        return both / max(1, len(s) + len(o) - both)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "form": list(map(share, b["ma"], b["mb"])), "words": list(map(share, b["wa"], b["wb"]))})
+
+    sets = classes.select("id", "masked", "written")
+    both = pairs.join(sets.toDF("a", "ma", "wa"), "a").join(sets.toDF("b", "mb", "wb"), "b")
+    return both.select("a", "b", "ma", "mb", "wa", "wb").mapInPandas(run, "a long, b long, form double, words double")
+
+
+def origins(
+    documents: DataFrame, threshold: float = 0.45, form: float = 0.5, k: int = 8, rows: int = 64, order: int = 4,
+    kin: float = 0.8, kin_least: int = 5, family: float = 0.85, family_least: int = 10,
+) -> DataFrame:
+    """(document_id, reason, evidence) of the files that aren't hand-written here.
 
-    A class meets, per sketch, the first and the last class of the bucket: that settles most of a
-    family of any size with two pairs a class and sketch. Classes not settled by it then meet all
-    others in their buckets.
+    A class meets, per band, the first and the last class of the bucket: that settles most of a
+    family of any size with two pairs a class and band. Classes not settled by it then meet all
+    others in their buckets, large ones in blocks.
     """
     prof = cut(profiles(documents, MinHash(rows, order), k))
     compared = prof.where("size(keys) > 0")
     # files of equal words are one class; one that several sources hold is settled and may meet any other
     classes = cut(
         compared.groupBy("same").agg(
-            F.min("id").alias("id"), F.min("source_key").alias("source"), (F.min("source_key") != F.max("source_key")).alias("shared"),
-            F.min_by("keys", "id").alias("keys"), F.first("shingles").alias("shingles"),
+            F.min("id").alias("id"), F.xxhash64(F.min("source_key")).alias("source"), (F.min("source_key") != F.max("source_key")).alias("shared"),
+            F.min_by("keys", "id").alias("keys"), F.min_by("masked", "id").alias("masked"), F.first("written").alias("written"),
         )
     )
-    buckets = cut(
-        classes.select(F.xxhash64("source").alias("source"), "id", F.expr("length(shingles) div 4").alias("n"), "shared", F.explode("keys").alias("key"))
-        .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("source", "id", "n", "shared"))).alias("m"))
-        .where("size(m) > 1").where("m[0].source <> element_at(m, -1).source or exists(m, x -> x.shared)").select("m")
-    )
+
+    def keyed(of: DataFrame) -> DataFrame:
+        kept = [c for c in of.columns if c not in ("keys", "masked", "written", "same")]
+        return of.select(F.explode("keys").alias("key"), *kept, F.expr("length(masked) div 4").alias("n")).repartition("key")
 
     def met(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs (x, o) of a bucket that could be copies of one another."""
-        alike = F.least("x.n", "o.n") >= threshold * F.greatest("x.n", "o.n")
-        pairs = pairs.where("x.id <> o.id").where("x.source <> o.source or x.shared or o.shared").where(alike)
-        return cut(pairs.select(F.least("x.id", "o.id").alias("a"), F.greatest("x.id", "o.id").alias("b")).distinct())
+        """(a, b) of the pairs (x, y) of a bucket that could be copies of one another."""
+        alike = F.least("x.n", "y.n") >= form * F.greatest("x.n", "y.n")
+        pairs = pairs.where("x.id <> y.id").where("x.source <> y.source or x.shared or y.shared").where(alike)
+        return cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for i, j, x, y in zip(b["a"], b["b"], b["s"], b["o"]):
-                s, o = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                shared = len(np.intersect1d(s, o, assume_unique=True))
-                if shared >= threshold * max(1, len(s) + len(o) - shared):
-                    keep += [i, j]
-            yield pd.DataFrame({"id": pd.Series(keep, dtype="int64")})
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sets = classes.select("id", "shingles")
-        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "o"), "b")
-        return cut(both.select("a", "b", "s", "o").mapInPandas(verify, "id long").distinct())
-
-    ends = met(buckets.select("m", F.explode("m").alias("x")).select("x", F.explode(F.array(F.expr("m[0]"), F.expr("element_at(m, -1)"))).alias("o")))
-    settled = classes.where("shared").select("id").unionByName(verified(ends)).distinct()
+    def copies(pairs: DataFrame) -> DataFrame:
+        return cut(_likeness(pairs, classes).where((F.col("form") >= form) & (F.col("words") >= threshold)).select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+    bands = keyed(classes)
+    one = F.struct("source", "id", "n", "shared")
+    ends = bands.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.max("shared").alias("any")).where("lo.id <> hi.id and (lo.source <> hi.source or any)")
+    first = met(bands.join(ends, "key").select(one.alias("x"), F.explode(F.array("lo", "hi")).alias("y")))
+    settled = classes.where("shared").select("id").unionByName(copies(first)).distinct()
     # classes not settled so meet all others of their buckets
-    open_ = classes.select("id").join(settled, "id", "left_anti")
-    rest = met(buckets.select("m", F.explode("m").alias("x")).withColumn("id", F.col("x.id")).join(open_, "id", "left_semi").select("x", F.explode("m").alias("o")))
-    settled = settled.unionByName(verified(rest.join(ends, ["a", "b"], "left_anti"))).distinct()
-    copies = classes.select("id", "same").join(settled, "id", "left_semi").select("same")
-    met_files = compared.join(copies, "same", "left_semi").select("id", F.lit("vendored").alias("reason"))
-    own = prof.where("reason is not null").select("id", "reason")
+    flagged = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    rest = met(bucket_pairs(keyed(flagged)).where("not (x.done and y.done)"))
+    settled = settled.unionByName(copies(rest.join(first, ["a", "b"], "left_anti"))).distinct()
+    written = classes.select("id", "same").join(settled, "id", "left_semi").select("same")
+    vendored = compared.join(written, "same", "left_semi").select("id", F.lit("vendored").alias("reason"), F.lit("copies").alias("evidence"))
+    # one form, many texts in one repository: members are compared with the first of their bucket
+    heads = bands.groupBy("key", "source").agg(F.min("id").alias("a"), F.count("*").alias("c")).where(F.col("c") >= kin_least).drop("c")
+    alike = _likeness(bands.join(heads, ["key", "source"]).where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes)
+    alike = cut(alike.where((F.col("form") >= kin) & (F.col("words") < kin)).select("a", "b"))
+    large = alike.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") >= kin_least - 1).select("a")
+    relatives = alike.join(large, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    relatives = compared.join(classes.join(relatives, "id", "left_semi").select("same"), "same", "left_semi").select("id", F.lit("generated").alias("reason"), F.lit("kin").alias("evidence"))
+    own = prof.where("reason is not null").select("id", "reason", "evidence")
     folders = prof.groupBy("folder").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isin("generated", "minified", "data")).alias("made")).where((F.col("n") >= family_least) & (F.col("made") >= family * F.col("n")))
-    kin = prof.where("reason is null").join(folders.select("folder"), "folder", "left_semi").select("id", F.lit("generated").alias("reason"))
-    return own.unionByName(met_files).unionByName(kin).groupBy(F.col("id").alias("document_id")).agg(F.min("reason").alias("reason"))
+    beside = prof.where("reason is null").join(folders.select("folder"), "folder", "left_semi").select("id", F.lit("generated").alias("reason"), F.lit("beside").alias("evidence"))
+    # clusters come before what a file says of itself
+    weight = F.struct(F.when(F.col("evidence").isin("copies", "kin"), 0).otherwise(1).alias("w"), "reason", "evidence")
+    every = own.unionByName(vendored).unionByName(relatives).unionByName(beside)
+    return every.groupBy(F.col("id").alias("document_id")).agg(F.min(weight).alias("r")).select("document_id", "r.reason", "r.evidence")
 
 
 def found(documents: DataFrame) -> DataFrame:

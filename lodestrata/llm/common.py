@@ -75,13 +75,13 @@ def bucket_pairs(members: DataFrame, block: int = 512) -> DataFrame:
     A bucket beyond ``block`` members is cut into blocks by a hash of the id, and each pair of
     blocks meets in a task's cell of its own: at most ``block`` squared pairs at once, and none lost.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = members.groupBy("key").agg(F.count("*").alias("bucket_n")).where("bucket_n > 1")
     sized = members.join(sizes, "key")
     row = F.struct(*[c for c in members.columns if c != "key"])
-    few = sized.where(F.col("n") <= block).select("key", row.alias("m"))
+    few = sized.where(F.col("bucket_n") <= block).select("key", row.alias("m"))
     small = few.withColumnRenamed("m", "x").join(few.withColumnRenamed("m", "y"), "key")
-    blocks = F.ceil(F.col("n") / block)
-    many = sized.where(F.col("n") > block).select("key", row.alias("m"), F.pmod(F.xxhash64("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
+    blocks = F.ceil(F.col("bucket_n") / block)
+    many = sized.where(F.col("bucket_n") > block).select("key", row.alias("m"), F.pmod(F.xxhash64("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
     many = many.select("key", "m", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
     left, right = many.withColumnsRenamed({"m": "x", "b": "bx"}), many.withColumnsRenamed({"m": "y", "b": "by"})
     large = left.join(right, ["key", "lo", "hi"]).where((F.least("bx", "by") == F.col("lo")) & (F.greatest("bx", "by") == F.col("hi")))

@@ -230,6 +230,19 @@ def test_copies_between_unrelated_ends_of_a_bucket(spark):
     assert got == {g + k for g in range(0, 160, 10) for k in (3, 4)}
 
 
+def test_one_form_in_a_repository_is_a_generators_family(spark):
+    form = code(random.Random(41), 20)
+
+    def renamed(n):
+        return re.sub("river|lake|stone|cloud|ember|field|north|green|quiet", lambda m: f"{m[0][:2]}{chr(97 + n) * 3}", form)
+
+    rows = [(n, "a", f"src/m{n}.py", renamed(n)) for n in range(6)]
+    # the same file ingested again, four of a form, and one form in many repositories
+    rows += [(20 + n, "b", "src/again.py", renamed(9) + f"print({n})\n") for n in range(6)] + [(40 + n, "c", f"src/k{n}.py", renamed(10 + n)) for n in range(4)]
+    got = {r["document_id"]: (r["reason"], r["evidence"]) for r in codeorigin.origins(docs(spark, rows)).collect()}
+    assert got == {n: ("generated", "kin") for n in range(6)}
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 
