@@ -1,18 +1,18 @@
 """Generated, minified and vendored source files, and data saved as code.
 
-Method: the tokens of a file without its comments, identifiers masked, give shingles of eight; MinHash
-banding over them (64 bands of the four least shingles) makes candidates, none left out for being
-common, so that a library in any number of repositories is found. Files with equal words are one
-class, settled by a group-by. Candidates are verified by their masked shingles, then by the words as
-written. Clusters across repositories (source keys) are vendored. Clusters within a repository whose
+Method: the tokens of a file without its comments, identifiers masked, give shingles of twelve; MinHash
+banding over them (64 bands of the three least shingles, two of which must be equal) makes candidates,
+none left out for being common, so that a library in any number of repositories is found. Files with
+equal words are one class, settled by a group-by. Candidates whose least 32 shingles of words speak
+for it are verified by their masked shingles, then by the words as written. Clusters across repositories (source keys) are vendored. Clusters within a repository whose
 members are equal in form and not in words are a generator's family; so are families of statements
 within one file, literals masked too, that are numbered on and on, or that make up nearly all of it.
 What is nothing but literals once identifiers are masked is data; code packed into lines without
 blanks is minified. A copy whose original isn't in the tables, or a single generated file, forms no
 cluster: there the signs by which tools and third parties mark their files (a statement in the head,
-a file name, a folder) stand in, and ``evidence`` says so. At a masked similarity of exactly 0.6 a pair
-shares no band with a probability of about 0.0001, at 0.7 of about 0.00000003 (computed). Files of
-fewer than four distinct shingles are too small to tell copies by.
+a file name, a folder) stand in, and ``evidence`` says so. A pair with a masked similarity of 0.6 is missed
+by the bands with a probability of 0.000003, one of 0.5 with 0.002 (computed). Files of fewer than four
+distinct shingles are too small to tell copies by.
 
 Defined results for odd input: null or empty content, prose and settings are no cases; files of
 any length are read whole; rows delivered twice count once; a file ingested again under a new id
@@ -153,11 +153,16 @@ def judge(path: str, language: str, text: str) -> tuple[str | None, str | None,
     return reason, evidence, p["tokens"]
 
 
-def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4) -> DataFrame:
-    """(id, source_key, folder, reason, evidence, keys, same, masked, written) of the code files, one row an id.
+#: Shingles of a file that say beforehand whether two files could be copies, and the share they must reach.
+LOW, SPEAKS = 32, 0.12
+
+
+def profiles(documents: DataFrame, sketcher: MinHash, k: int = 12, least: int = 4) -> DataFrame:
+    """(id, source_key, folder, reason, evidence, keys, same, low, masked, written) of the code files, one row an id.
 
     keys: bands of the masked shingles, none for files that aren't compared; masked and written: the
-    distinct shingles of masked tokens, and of three words as written; same: the latter's digest.
+    distinct shingles of masked tokens, and of three words as written; same: the latter's digest; low:
+    the least of them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,12 +180,12 @@ def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4
                     if len(form) >= least:
                         keys, masked = sketcher.keys(shingles), form.tobytes()
                         written = np.unique(shingle_hashes(word_hashes(words_of(t)), 3).astype(np.uint32)).tobytes()
-                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, evidence, keys.view(np.int64), xxhash.xxh3_128_digest(written), masked, written))
-            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "evidence", "keys", "same", "masked", "written"])
+                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, evidence, keys.view(np.int64), xxhash.xxh3_128_digest(written), written[: 4 * LOW], masked, written))
+            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "evidence", "keys", "same", "low", "masked", "written"])
 
     suffix = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1))
     code = documents.where(suffix.isin(*CODE_SUFFIXES) & F.col("id").isNotNull() & F.col("content").isNotNull())
-    schema = "id long, source_key string, folder string, reason string, evidence string, keys array<long>, same binary, masked binary, written binary"
+    schema = "id long, source_key string, folder string, reason string, evidence string, keys array<long>, same binary, low binary, masked binary, written binary"
     return code.select(F.col("id").cast("long"), "source_key", "path", "language", "content").mapInPandas(run, schema).dropDuplicates(["id"])
 
 
@@ -201,15 +206,22 @@ def _likeness(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "ma", "mb", "wa", "wb").mapInPandas(run, "a long, b long, form double, words double")
 
 
+def _could_be(x: bytes, y: bytes) -> bool:
+    """Whether the least shingles of two files let them be copies: their share among the least of both."""
+    s, o = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+    least = np.union1d(s, o)[:LOW]
+    return len(np.intersect1d(np.intersect1d(s, o, assume_unique=True), least, assume_unique=True)) >= SPEAKS * len(least)
+
+
 def origins(
-    documents: DataFrame, threshold: float = 0.45, form: float = 0.5, k: int = 8, rows: int = 64, order: int = 4,
+    documents: DataFrame, threshold: float = 0.45, form: float = 0.4, k: int = 12, rows: int = 64, order: int = 3, equal: int = 2, hot: int = 64,
     kin: float = 0.8, kin_least: int = 5, family: float = 0.85, family_least: int = 10,
 ) -> DataFrame:
     """(document_id, reason, evidence) of the files that aren't hand-written here.
 
-    A class meets, per band, the first and the last class of the bucket: that settles most of a
-    family of any size with two pairs a class and band. Classes not settled by it then meet all
-    others in their buckets, large ones in blocks.
+    In buckets of more than ``hot`` classes each class first meets the first and the last one: that
+    settles most of a family of any size with two pairs a class and band. Then all pairs of a bucket
+    meet, but for those that are both settled; large buckets are cut into blocks.
     """
     prof = cut(profiles(documents, MinHash(rows, order), k))
     compared = prof.where("size(keys) > 0")
@@ -217,37 +229,42 @@ def origins(
     classes = cut(
         compared.groupBy("same").agg(
             F.min("id").alias("id"), F.xxhash64(F.min("source_key")).alias("source"), (F.min("source_key") != F.max("source_key")).alias("shared"),
-            F.min_by("keys", "id").alias("keys"), F.min_by("masked", "id").alias("masked"), F.first("written").alias("written"),
+            F.min_by("keys", "id").alias("keys"), F.min_by("masked", "id").alias("masked"), F.first("written").alias("written"), F.first("low").alias("low"),
         )
     )
+    narrow = classes.select("id", "source", "shared", F.expr("length(masked) div 4").alias("n"), "low")
 
-    def keyed(of: DataFrame) -> DataFrame:
-        kept = [c for c in of.columns if c not in ("keys", "masked", "written", "same")]
-        return of.select(F.explode("keys").alias("key"), *kept, F.expr("length(masked) div 4").alias("n")).repartition("key")
+    @F.pandas_udf("boolean")
+    def could_be(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(list(map(_could_be, x, y)), dtype=bool)
 
     def met(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs (x, y) of a bucket that could be copies of one another."""
-        alike = F.least("x.n", "y.n") >= form * F.greatest("x.n", "y.n")
-        pairs = pairs.where("x.id <> y.id").where("x.source <> y.source or x.shared or y.shared").where(alike)
-        return cut(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+        """The pairs (a, b) of other sources that could be copies of one another."""
+        both = pairs.join(narrow.toDF("a", "sa", "ha", "na", "la"), "a").join(narrow.toDF("b", "sb", "hb", "nb", "lb"), "b")
+        both = both.where("sa <> sb or ha or hb").where(F.least("na", "nb") >= form * F.greatest("na", "nb"))
+        return cut(both.where(could_be("la", "lb")).select("a", "b"))
 
     def copies(pairs: DataFrame) -> DataFrame:
         return cut(_likeness(pairs, classes).where((F.col("form") >= form) & (F.col("words") >= threshold)).select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
-    bands = keyed(classes)
-    one = F.struct("source", "id", "n", "shared")
-    ends = bands.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.max("shared").alias("any")).where("lo.id <> hi.id and (lo.source <> hi.source or any)")
-    first = met(bands.join(ends, "key").select(one.alias("x"), F.explode(F.array("lo", "hi")).alias("y")))
+    def keyed(of: DataFrame, *columns: str) -> DataFrame:
+        return of.select(F.explode("keys").alias("key"), "id", *columns).repartition("key")
+
+    bands = keyed(classes, "source")
+    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where(F.col("c") > hot)
+    first = bands.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o")
+    first = met(first.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
     settled = classes.where("shared").select("id").unionByName(copies(first)).distinct()
-    # classes not settled so meet all others of their buckets
     flagged = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    rest = met(bucket_pairs(keyed(flagged)).where("not (x.done and y.done)"))
-    settled = settled.unionByName(copies(rest.join(first, ["a", "b"], "left_anti"))).distinct()
+    meeting = bucket_pairs(keyed(flagged, "done")).where("not (x.done and y.done)")
+    rest = met(meeting.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= equal).select("a", "b"))
+    settled = settled.unionByName(copies(rest)).distinct()
     written = classes.select("id", "same").join(settled, "id", "left_semi").select("same")
     vendored = compared.join(written, "same", "left_semi").select("id", F.lit("vendored").alias("reason"), F.lit("copies").alias("evidence"))
     # one form, many texts in one repository: members are compared with the first of their bucket
     heads = bands.groupBy("key", "source").agg(F.min("id").alias("a"), F.count("*").alias("c")).where(F.col("c") >= kin_least).drop("c")
-    alike = _likeness(bands.join(heads, ["key", "source"]).where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes)
+    heads = bands.join(heads, ["key", "source"]).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    alike = _likeness(heads.where(F.col("c") >= equal).select("a", "b"), classes)
     alike = cut(alike.where((F.col("form") >= kin) & (F.col("words") < kin)).select("a", "b"))
     large = alike.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") >= kin_least - 1).select("a")
     relatives = alike.join(large, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct()
