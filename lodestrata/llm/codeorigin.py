@@ -174,14 +174,15 @@ LOW, SPEAKS = 32, 0.12
 
 
 def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4) -> DataFrame:
-    """(id, source_key, folder, reason, evidence, keys, same, low, masked, written) of the code files, one row an id.
+    """(id, source_key, folder, reason, evidence, same, short, n, low, keys, masked, written) of the code files.
 
-    keys: bands of the masked shingles, none for files that aren't compared; masked and written: the
-    distinct shingles of masked tokens, and of three words as written; same: the latter's digest; low:
-    the least of them.
+    masked and written: the distinct shingles of masked tokens (n of them), and of three words as
+    written; same, short: the latter's digest; low: the least of them; keys: bands, null where the task
+    has sent them for the class. Files that aren't compared have none of these.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[int] = set()  # only saves rows
         for b in batches:
             rows = []
             for i, s, p, lang, t in zip(b["id"], b["source_key"], b["path"], b["language"], b["content"]):
@@ -189,24 +190,33 @@ def profiles(documents: DataFrame, sketcher: MinHash, k: int = 8, least: int = 4
                     continue
                 path = p or ""
                 reason, evidence, tokens, held = judge(path, lang or "", t)
-                keys, masked, written = np.empty(0, dtype=np.uint64), b"", b""
+                about = (None, None, 0, None, None, None, None)
                 if reason is None or reason == "vendored":
                     shingles = shingle_hashes(word_hashes(tokens), k)
                     form = np.unique(shingles.astype(np.uint32))
                     if len(form) >= least:
-                        keys, masked = bands_of(sketcher, shingles, held, k), form.tobytes()
                         written = np.unique(shingle_hashes(word_hashes(words_of(t)), 3).astype(np.uint32)).tobytes()
-                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, evidence, keys.view(np.int64), xxhash.xxh3_128_digest(written), written[: 4 * LOW], masked, written))
-            yield pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "evidence", "keys", "same", "low", "masked", "written"])
+                        same = xxhash.xxh3_128_digest(written)
+                        short = int.from_bytes(same[:8], "little", signed=True)
+                        keys = None
+                        if short not in sent:
+                            if len(sent) > 200_000:
+                                sent.clear()
+                            sent.add(short)
+                            keys = bands_of(sketcher, shingles, held, k).view(np.int64)
+                        about = (same, short, len(form), written[: 4 * LOW], keys, form.tobytes(), written)
+                rows.append((i, s or "", "/".join(path.lower().split("/")[:2]), reason, evidence, *about))
+            out = pd.DataFrame(rows, columns=["id", "source_key", "folder", "reason", "evidence", "same", "short", "n", "low", "keys", "masked", "written"])
+            yield out.astype({"short": "Int64"})
 
     suffix = F.lower(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1))
     code = documents.where(suffix.isin(*CODE_SUFFIXES) & F.col("id").isNotNull() & F.col("content").isNotNull())
-    schema = "id long, source_key string, folder string, reason string, evidence string, keys array<long>, same binary, low binary, masked binary, written binary"
-    return code.select(F.col("id").cast("long"), "source_key", "path", "language", "content").mapInPandas(run, schema).dropDuplicates(["id"])
+    schema = "id long, source_key string, folder string, reason string, evidence string, same binary, short long, n long, low binary, keys array<long>, masked binary, written binary"
+    return code.select(F.col("id").cast("long"), "source_key", "path", "language", "content").mapInPandas(run, schema)
 
 
-def _likeness(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, form, words): the shares of masked and of written shingles that both have."""
+def _likeness(pairs: DataFrame, prof: DataFrame) -> DataFrame:
+    """(a, b, form, words) of pairs of files: the shares of masked and of written shingles that both have."""
 
     def share(x: bytes, y: bytes) -> float:
         s, o = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
@@ -217,9 +227,10 @@ def _likeness(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "form": list(map(share, b["ma"], b["mb"])), "words": list(map(share, b["wa"], b["wb"]))})
 
-    sets = classes.select("id", "masked", "written")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut(prof.select("id", "masked", "written").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     both = pairs.join(sets.toDF("a", "ma", "wa"), "a").join(sets.toDF("b", "mb", "wb"), "b")
-    return both.select("a", "b", "ma", "mb", "wa", "wb").mapInPandas(run, "a long, b long, form double, words double")
+    return cut(both.select("a", "b", "ma", "mb", "wa", "wb").mapInPandas(run, "a long, b long, form double, words double"))
 
 
 def _could_be(x: bytes, y: bytes) -> bool:
@@ -240,58 +251,62 @@ def origins(
     meet, but for those that are both settled; large buckets are cut into blocks.
     """
     prof = cut(profiles(documents, MinHash(rows, order), k))
-    compared = prof.where("size(keys) > 0")
+    files = prof.select("id", "source_key", "folder", "reason", "evidence", "same", "short", "n", "low").dropDuplicates(["id"])
     # files of equal words are one class; one that several sources hold is settled and may meet any other
     classes = cut(
-        compared.groupBy("same").agg(
-            F.min("id").alias("id"), F.xxhash64(F.min("source_key")).alias("source"), (F.min("source_key") != F.max("source_key")).alias("shared"),
-            F.min_by("keys", "id").alias("keys"), F.min_by("masked", "id").alias("masked"), F.first("written").alias("written"), F.first("low").alias("low"),
+        files.where("same is not null").groupBy("same").agg(
+            F.min("id").alias("id"), F.min("short").alias("short"), F.xxhash64(F.min("source_key")).alias("source"), (F.min("source_key") != F.max("source_key")).alias("shared"),
+            F.min("n").alias("n"), F.min("low").alias("low"),
         )
     )
-    narrow = classes.select("id", "source", "shared", F.expr("length(masked) div 4").alias("n"), "low")
+    bands = prof.where("keys is not null").select(F.explode("keys").alias("key"), "short").repartition("key").distinct()
+    # what shares a band with another; classes go by their least id from here on
+    crowded = bands.join(bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
+    crowded = cut(crowded.join(classes.select("short", "id", "source", "shared"), "short").select("key", "id", "source", "shared", "c"))
 
     @F.pandas_udf("boolean")
     def could_be(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(list(map(_could_be, x, y)), dtype=bool)
 
+    narrow = classes.select("id", "source", "shared", "n", "low")
+
     def met(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of other sources that could be copies of one another."""
         both = pairs.join(narrow.toDF("a", "sa", "ha", "na", "la"), "a").join(narrow.toDF("b", "sb", "hb", "nb", "lb"), "b")
         both = both.where("sa <> sb or ha or hb").where(F.least("na", "nb") >= form * F.greatest("na", "nb"))
-        return cut(both.where(could_be("la", "lb")).select("a", "b"))
-
-    def copies(pairs: DataFrame) -> DataFrame:
-        return cut(_likeness(pairs, classes).where((F.col("form") >= form) & (F.col("words") >= threshold)).select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        return both.where(could_be("la", "lb")).select("a", "b")
 
-    def keyed(of: DataFrame, *columns: str) -> DataFrame:
-        return of.select(F.explode("keys").alias("key"), "id", *columns).repartition("key")
+    def copies(alike: DataFrame) -> DataFrame:
+        return alike.where((F.col("form") >= form) & (F.col("words") >= threshold)).select(F.explode(F.array("a", "b")).alias("id"))
 
-    bands = keyed(classes, "source")
-    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where(F.col("c") > hot)
-    first = bands.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o")
+    ends = crowded.where(F.col("c") > hot).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    first = crowded.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o")
     first = met(first.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
-    settled = classes.where("shared").select("id").unionByName(copies(first)).distinct()
-    flagged = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    meeting = bucket_pairs(keyed(flagged, "done")).where("not (x.done and y.done)")
-    rest = met(meeting.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= equal).select("a", "b"))
-    settled = settled.unionByName(copies(rest)).distinct()
-    written = classes.select("id", "same").join(settled, "id", "left_semi").select("same")
-    vendored = compared.join(written, "same", "left_semi").select("id", F.lit("vendored").alias("reason"), F.lit("copies").alias("evidence"))
     # one form, many texts in one repository: members are compared with the first of their bucket
-    heads = bands.groupBy("key", "source").agg(F.min("id").alias("a"), F.count("*").alias("c")).where(F.col("c") >= kin_least).drop("c")
-    heads = bands.join(heads, ["key", "source"]).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c"))
-    alike = _likeness(heads.where(F.col("c") >= equal).select("a", "b"), classes)
-    alike = cut(alike.where((F.col("form") >= kin) & (F.col("words") < kin)).select("a", "b"))
-    large = alike.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") >= kin_least - 1).select("a")
-    relatives = alike.join(large, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    relatives = compared.join(classes.join(relatives, "id", "left_semi").select("same"), "same", "left_semi").select("id", F.lit("generated").alias("reason"), F.lit("kin").alias("evidence"))
-    own = prof.where("reason is not null").select("id", "reason", "evidence")
-    folders = prof.groupBy("folder").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isin("generated", "minified", "data")).alias("made")).where((F.col("n") >= family_least) & (F.col("made") >= family * F.col("n")))
-    beside = prof.where("reason is null").join(folders.select("folder"), "folder", "left_semi").select("id", F.lit("generated").alias("reason"), F.lit("beside").alias("evidence"))
+    heads = crowded.groupBy("key", "source").agg(F.min("id").alias("a"), F.count("*").alias("m")).where(F.col("m") >= kin_least)
+    kindred = crowded.join(heads, ["key", "source"]).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("m")).where(F.col("m") >= equal).select("a", "b")
+    alike = _likeness(cut(first.unionByName(kindred).distinct()), prof)
+    settled = classes.where("shared").select("id").unionByName(copies(alike.join(kindred, ["a", "b"], "left_anti"))).distinct()
+    flagged = crowded.join(settled.withColumn("done", F.lit(True)), "id", "left").select("key", "id", F.coalesce("done", F.lit(False)).alias("done")).repartition("key")
+    meeting = bucket_pairs(flagged).where("not (x.done and y.done)")
+    rest = met(meeting.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("m")).where(F.col("m") >= equal).select("a", "b"))
+    settled = settled.unionByName(copies(_likeness(cut(rest), prof))).distinct()
+
+    def every(ids: DataFrame) -> DataFrame:
+        """All files of the classes."""
+        return files.join(classes.join(ids, "id", "left_semi").select("same"), "same", "left_semi").select("id")
+
+    families = cut(alike.join(kindred, ["a", "b"], "left_semi").where((F.col("form") >= kin) & (F.col("words") < kin)).select("a", "b"))
+    large = families.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") >= kin_least - 1).select("a")
+    relatives = families.join(large, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    folders = files.groupBy("folder").agg(F.count("*").alias("m"), F.count_if(F.col("reason").isin("generated", "minified", "data")).alias("made")).where((F.col("m") >= family_least) & (F.col("made") >= family * F.col("m")))
+    beside = files.where("reason is null").join(folders.select("folder"), "folder", "left_semi").select("id")
+    parts = [files.where("reason is not null").select("id", "reason", "evidence")]
+    parts += [ids.select("id", F.lit(r).alias("reason"), F.lit(e).alias("evidence")) for ids, r, e in ((every(settled), "vendored", "copies"), (every(relatives), "generated", "kin"), (beside, "generated", "beside"))]
+    found_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     # clusters come before what a file says of itself
     weight = F.struct(F.when(F.col("evidence").isin("copies", "kin"), 0).otherwise(1).alias("w"), "reason", "evidence")
-    every = own.unionByName(vendored).unionByName(relatives).unionByName(beside)
-    return every.groupBy(F.col("id").alias("document_id")).agg(F.min(weight).alias("r")).select("document_id", "r.reason", "r.evidence")
+    return found_.groupBy(F.col("id").alias("document_id")).agg(F.min(weight).alias("r")).select("document_id", "r.reason", "r.evidence")
 
 
 def found(documents: DataFrame) -> DataFrame:
