@@ -87,7 +87,8 @@ def _p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     from . import splitter
 
     at = limits(spark, d)
-    return splitter.split_markdown(splitter.markdown_rows(table(spark, d, "kb_documents")), at["chunk_size"], at["chunk_overlap"]).distinct()
+    rows = splitter.markdown_rows(table(spark, d, "kb_documents").select("id", "path", "content")).dropDuplicates(["id"])
+    return splitter.split_markdown(rows, at["chunk_size"], at["chunk_overlap"])
 
 
 def _p7_packed(spark: SparkSession, d: str) -> DataFrame:
