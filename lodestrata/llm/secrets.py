@@ -73,8 +73,6 @@ _REFERENCE = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:\(|\[|\.$|-
 _HASHED = re.compile(r"^(?:sha\d{1,3}|md5|crc32|blake\w*|argon2\w*|bcrypt|scrypt|pbkdf2\w*)[-:$(]|^\$(?:2[abxy]?|1|5|6|argon2\w*|pbkdf2\w*|y|scrypt)\$|^\{(?:SSHA|SHA|MD5|CRYPT)", re.I)
 _UUID = re.compile(r"^\{?[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\}?$")
 _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
-# Digest lengths in hexadecimal digits.
-_DIGESTS = (32, 40, 48, 56, 64, 96, 128)
 _UNSAID = re.compile(r"(?i)(?:hash|digest|checksum|fingerprint|integrity|public|pub_?key|length|len|count|limit|size|min|max|ttl|expir\w*|path|file|dir|url|uri|name|env|ref|policy|field|type|hint|label|_id|tokenizer|tokens)$")
 
 
@@ -129,12 +127,13 @@ def residual(value: str, words: frozenset[str]) -> tuple[int, int]:
 def is_secret(value: str, strong: bool, quoted: bool, key_name: bool, words: frozenset[str]) -> bool:
     """Whether a literal in a credential's context grants access."""
     n = len(value)
-    if n < 6 or n > 4000 or _PLACEHOLDER.search(value) or _REFERENCE.match(value) or _HASHED.match(value) or _UUID.match(value):
+    if n < 6 or _PLACEHOLDER.search(value) or _REFERENCE.match(value) or _HASHED.match(value) or _UUID.match(value):
         return False
     if value.isdigit() or "://" in value or len(set(value)) < 5:
         return False
     if _HEX.match(value):
-        return key_name and n >= 16 and (n in _DIGESTS or any(c.isdigit() for c in value))
+        # the format of hashes and ids: only where the name says that it is a key
+        return key_name and n >= 16 and any(c.isdigit() for c in value)
     if any(ord(c) > 127 for c in value) or " " in value.strip():
         return False
     left, kinds = residual(value, words)
