@@ -12,9 +12,13 @@ files are no cases; rows delivered twice give one row; extra columns are ignored
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +86,52 @@ _CASED_SLOT = re.compile(r"__[A-Z][A-Z0-9_]*__|\$[A-Z][A-Z0-9_]{2,}|%[A-Z][A-Z0-
 _ENDS = re.compile(r"(?<=[.!?。！？])(?:\s+|(?<=[。！？]))|\s*¶\s*")
 _DECOR = re.compile(r"^[\s#>*+\-_=|`~]+|[\s*_`|]+$")
 _WORD = re.compile(r"[^\W\d_]+")
-# A cheap sign that a text may hold evidence at all; every form above contains one of these.
-_SIGNS = re.compile(
-    r"(?i)script|cookies|[45]\d\d|not found|nicht|introuvable|n'existe|encontrada|trovata|gevonden|不存在|未找到|找不到|denied|forbidden|permission|unauthorized|error|fehler|went wrong|incident|gateway|unavailable|too many|upstream|slow down|try again|maintenance"
-    r"|back|session|sign in|log in|logged in|browser|human|robot|captcha|moment|domain|traceback|exception|coming soon|construction|demnächst|bientôt|próximamente|em breve|prossimamente|binnenkort|敬请期待|建设中|tbd|tba|tbc|t\.b|todo|to be |wip|in progress|goes here|comes here|sample|dummy|placeholder|your |insert|add a|add your|click|replace|first post|hello|undefined|null|nan|object|lorem|ipsum|dolor|\{\{|\{%|<%|\$|%[A-Z(]|\[|__|@|%%|##\w|<<|#\{|\{[a-z]|space|oops|sorry|whoops|find|脚本"
-)
+# Every form above contains one of these in lower case (tests hold each alternative against them); lines without any aren't looked at.
+_SIGNS = (
+    "script", "cookies", "browser support", "脚本", "not found", "not be found", "couldn't find", "does not exist", "was not found", "moved", "oops", "sorry", "uh-oh", "uhoh", "whoops", "could not find", "can't find",
+    "cannot find", "home page", "homepage", "to home", "to the home", "back to", "go back", "nicht gefunden", "gibt es nicht", "existiert nicht", "introuvable", "non trouvée", "n'existe pas", "no encontrada", "não encontrada", "non trovata",
+    "niet gevonden", "inicio", "início", "página inicial", "startpagina", "pagina iniziale", "al home", "ao home", "alla home", "à home", "terug naar", "不存在", "未找到", "找不到", "denied", "forbidden", "unauthorized",
+    "you do not have", "you don't have", "request id", "error", "erreur", "fehler", "fout", "erro ", "went wrong", "incident ", "bad gateway", "gateway time", "unavailable", "too many requests", "bad request", "request time", "upstream ",
+    "nginx", "ngate", "apache", "openresty", "cloudflare", "caddy", "lighttpd", "varnish", "iis", "slow down", "try again", "reference", "rate limit", " is down", " is offline", " is overloaded", "currently ", "temporarily ", "maintenance",
+    "being updated", "be back", "session", "sign in", "log in", "logged in", "checking", "verifying", "ray id", "code ", "human", "robot", "captcha", "just a moment", "domain", "for sale", "parked", "traceback", "file \"", "exception",
+    "at ", "warning: ", "fatal", "notice: ", "line ", "return self", "module>", "coming soon", "under construction", "back later", "back soon", "watch this space", "demnächst", "bientôt", "próximamente", "em breve", "prossimamente",
+    "binnenkort", "敬请期待", "建设中", "tb", "t.b", "todo", "to be ", "wip", "work in progress", "goes here", "comes here", "your ", "sample ", "dummy ", "placeholder", "insert ", "filler", "example", "add a", "add your", "click ", "replace this",
+    "edit this", "hello", "welcome to", "first post", "just another", "undefined", "null", "nan", "none", "[object object]", "invalid date",
+    "lorem", "ipsum", "dolor", "amet", "{{", "{%", "<%", "${", "%(", "[[", "__", "@@", "%%", "##", "<<", "#{", "{$", "{_", *(m + c for m in "{$%@" for c in "abcdefghijklmnopqrstuvwxyz"),
+    *("[" + w for w in "insert your product company section describe add title name date enter placeholder author client city email phone address logo image link topic number".split()),
+    *(str(n) for n in range(400, 600)),
+)
+
+
+@functools.cache
+def _spotter() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for sign in _SIGNS:
+        found.add_word(sign)
+    found.make_automaton()
+    return found
+
+
+def evident(text: str) -> dict[int, int]:
+    """Characters of evidence by number of line, of the lines that have any."""
+    ends: list[int] | None = None
+    seen, out = -1, {}
+    low = text.lower()
+    lines: list[str] = []
+    for end, _ in _spotter().iter(low):
+        if ends is None:
+            lines = text.split("\n")
+            ends = list(accumulate(len(x) + 1 for x in low.split("\n")))
+        if end < (ends[seen] if seen >= 0 else 0):
+            continue
+        seen = bisect_right(ends, end)
+        if n := evidence(lines[seen]):
+            out[seen] = n
+    return out
+
+
+#: Characters of the longest sentence that a notice is taken for.
+SENTENCE = 400
 
 
 def evidence(line: str) -> int:
@@ -94,28 +139,29 @@ def evidence(line: str) -> int:
     s = _DECOR.sub("", line)
     if not s:
         return 0
-    slots = sum(len(m) for m in _SLOT.findall(s) if m.startswith("${") or m[0] not in "$_%" or m[:2] == "%(" or m[:2] == "%{" or _CASED_SLOT.fullmatch(m)) if any(c in s for c in "{[<$%_@") else 0
+    slots = sum(len(m) for m in _SLOT.findall(s) if m.startswith("${") or m[0] not in "$_%" or m[:2] in ("%(", "%%") or _CASED_SLOT.fullmatch(m)) if any(c in s for c in "{[<$%_@") else 0
     if slots and "`" not in line and slots >= 0.4 * len(s):
         return len(s)
     words = _WORD.findall(s.lower())
     if len(words) >= 6 and sum(w in _LOREM for w in words) >= 0.6 * len(words):
         return len(s)
-    if len(s) > 400 or '"' in s[:1]:
+    if '"' in s[:1]:
         return 0
-    if _NOTICE.fullmatch(s):
+    if len(s) <= SENTENCE and _NOTICE.fullmatch(s):
         return len(s)
     parts = [p for p in _ENDS.split(s) if p]
     if len(parts) < 2:
         return 0
-    return sum(len(p) for p in parts if _NOTICE.fullmatch(p.strip()))
+    return sum(len(p) for p in parts if len(p) <= SENTENCE and _NOTICE.fullmatch(p.strip()))
 
 
 def verdict(text: str, host: str | None, title: str | None, boilerplate: set[int] | frozenset[int] = frozenset(), share: float = 0.5) -> bool:
     """Whether a record's residual is mostly evidence; boilerplate: numbers of its recurrent lines."""
-    lines = text.replace("\r", "").split("\n")
-    found = [evidence(x) for x in lines]
-    if not any(found):
+    text = text.replace("\r", "")
+    lines, seen = text.split("\n"), evident(text)
+    if not seen:
         return False
+    found = [seen.get(i, 0) for i in range(len(lines))]
     votes = [2 if i in boilerplate and not found[i] else 0 for i in range(len(lines))]
     if host:
         bad = furniture(lines, host, title, votes, 1)
@@ -149,7 +195,7 @@ def residue(rows: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
 
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[isinstance(t, str) and bool(_SIGNS.search(t)) and any(map(evidence, t.split("\n"))) for t in b["text"]]]
+            yield b[[isinstance(t, str) and bool(evident(t)) for t in b["text"]]]
 
     clean = rows.where("id is not null and text is not null").withColumn("text", F.regexp_replace("text", "\r", ""))
     candidates = cut(clean.mapInPandas(signs, clean.schema))  # read twice below
