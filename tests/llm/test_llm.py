@@ -192,7 +192,7 @@ An error has occurred|internal server error occurred|Something went wrong|incide
 The service is offline|Our site is down|The server is overloaded|the system is currently unavailable|x is being updated|Down for maintenance|scheduled maintenance|We'll be back soon|Your session has expired|Sign in to continue|Log in to Acme to view|Please log in|You must be logged in|Checking your browser|verifying you are human|Ray ID: 5f|code 5f6a7b|Are you a robot|Complete the captcha|Just a moment
 This domain name x.example is parked|It may be for sale|Buy this domain|parked free|Traceback (most recent call last):|File "a.py", line 3|ValueError: x|at a.b(c.js:1)|Warning: x on line 3|line 3, in f|return self.x(y)|<module>|Coming soon|This page is under construction|check back later|Watch this space|Demnächst|Bientôt disponible|Próximamente|em breve|Prossimamente|binnenkort online|敬请期待|网站建设中
 TBD|t.b.a.|TODO: write this|todo|to be written|WIP|work in progress|Content goes here|(text comes here)|Your text here|Sample content|insert title here|This is a placeholder|this is some filler text|this is example text|Add a heading|add your text|Click to edit|click here to add|Replace this text|Edit this paragraph|Hello, world!|Welcome to WordPress|This is your first post|Just another Acme site|undefined|null, NaN|Invalid Date|NaN reports|total: null|Posted by null on Invalid Date
-{{ a.b }}|{% if x %}|<% x %>|${name}|%(name)s|%NAME%|[[slot name]]|by __NAME__|$NAME_X|@@a.b@@|@TOKEN@|%%ab%%|x ##ab.cd##|<<ab cd>>|#{ab}|{$ab}|{first_name}|[Insert a name]|[Your mail]|lorem ipsum dolor sit amet elit"""
+{{ a.b }}|{% if x %}|<% x %>|${name}|%(name)s|%NAME%|[[slot name]]|by __NAME__ x|$NAME_X|@@a.b@@|@TOKEN@|%%ab%%|x ##ab.cd##|<<ab cd>>|#{ab}|{$ab}|{first_name}|[Insert a name]|[Your mail]|lorem ipsum dolor sit amet elit"""
 
 
 def test_every_form_of_notice_is_spotted():
