@@ -139,7 +139,7 @@ def evidence(line: str) -> int:
     s = _DECOR.sub("", line)
     if not s:
         return 0
-    slots = sum(len(m) for m in _SLOT.findall(s) if m.startswith("${") or m[0] not in "$_%" or m[:2] in ("%(", "%%") or _CASED_SLOT.fullmatch(m)) if any(c in s for c in "{[<$%_@") else 0
+    slots = sum(len(m) for m in _SLOT.findall(s) if m.startswith("${") or m[0] not in "$_%" or m[:2] in ("%(", "%%") or _CASED_SLOT.fullmatch(m)) if any(c in s for c in "{[<$%_@#") else 0
     if slots and "`" not in line and slots >= 0.4 * len(s):
         return len(s)
     words = _WORD.findall(s.lower())
