@@ -6,8 +6,9 @@ proportion to their targets until all are feasible. Each source's records are th
 repetitions of all of them plus a fraction: the records with the smallest seeded hashes, up to the
 fraction of the source's tokens.
 
-The fraction's cut is found from a histogram of hash cells (``CELLS`` a source at most), so no
-source's records are gathered or sorted in one place; the error is below one cell of a source.
+The fraction's cut is found from a histogram of hash cells (``CELLS`` a source at most), whose running
+sums are made in the plan, so no source's records are gathered or sorted in one place and nothing but
+the totals of the listed sources reaches the driver; the error is below one cell of a source.
 
 Defined results for odd input: source names are compared after trimming, in lower case; records of
 null or unlisted sources aren't drawn; listed sources without records get share 0 and their target
@@ -17,7 +18,7 @@ source listed twice has its targets added; with no feasible source nothing is dr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -70,23 +71,14 @@ def draw(records: DataFrame, mix: DataFrame, total: int | None = None, seed: int
     planned = plan(records, mix, total)
     active = {s: p for s, p in planned.items() if p[2] and p[3]}
     spark = records.sparkSession
-    base = spark.createDataFrame([(s, int(p[3] // p[2]), float(p[3] / p[2] - p[3] // p[2])) for s, p in active.items()], "source string, whole long, fraction double")
+    base = spark.createDataFrame([(s, int(p[3] // p[2]), float(p[3] - p[3] // p[2] * p[2])) for s, p in active.items()], "source string, whole long, rest double")
     listed = records.where("tokens > 0").join(F.broadcast(base), "source")  # as many rows as the table of targets
     cell = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CELLS)).alias("cell")
-    celled = listed.select("doc_id", "source", "tokens", "whole", "fraction", cell)
-    histogram: dict[str, dict[int, int]] = {}
-    for r in celled.groupBy("source", "cell").agg(F.sum("tokens").alias("n")).collect():
-        histogram.setdefault(r["source"], {})[r["cell"]] = r["n"]
-    cuts = []
-    for s, p in active.items():
-        want, got, at = (p[3] / p[2] - p[3] // p[2]) * p[2], 0, 0
-        for c in range(CELLS):
-            n = histogram.get(s, {}).get(c, 0)
-            if got + n / 2 > want:
-                break
-            got, at = got + n, c + 1
-        cuts.append((s, at))
-    ends = spark.createDataFrame(cuts, "source string, cut long")
+    celled = listed.select("doc_id", "source", "tokens", "whole", "rest", cell)
+    histogram = celled.groupBy("source", "cell").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("cell"))  # at most CELLS rows
+    # a cell is drawn where its middle lies within what is wanted beyond whole repetitions
+    ends = histogram.withColumn("within", upto - F.col("n") / 2 <= F.col("rest")).groupBy("source").agg(F.coalesce(F.max(F.when(F.col("within"), F.col("cell") + 1)), F.lit(0)).alias("cut"))
     chosen = celled.join(F.broadcast(ends), "source")  # as many rows as the table of targets
     copies = F.col("whole") + F.when(F.col("cell") < F.col("cut"), 1).otherwise(0)
     return chosen.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
