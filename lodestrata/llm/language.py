@@ -230,6 +230,59 @@ _HAN, _LATIN = re.compile(r"[\u3400-\u9fff]"), re.compile(r"[A-Za-z]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 
 
+def _pieces(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of a block, blank ones left out."""
+    ends = [m.span() for m in _SENTENCES.finditer(text)]
+    spans = zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)])
+    return [(s, e) for s, e in spans if text[s:e].strip()]
+
+
+def _texts(b: pd.DataFrame, every: bool) -> tuple[list, list, list, list]:
+    """(ids, block numbers, trimmed texts, whether fenced) of the blocks of a batch (i, t)."""
+    ids, numbers, texts, fenced = [], [], [], []
+    for i, t in zip(b["i"], b["t"]):
+        if not isinstance(t, str):
+            continue
+        parts = blocks(t)
+        odd = [k for k, x in enumerate(parts) if "```" in x and sum(y.lstrip().startswith("```") for y in x.split("\n")) % 2]
+        # blocks from an opening fence to the one that closes it
+        within = {k for x, y in zip(odd[::2], odd[1::2]) for k in range(x + 1, y + 1)}
+        for k, block in enumerate(parts):
+            s = block.strip()
+            code = k in within or s.startswith("```")
+            if not s or not every and (code or len(s) < 60 or s.startswith("#")):
+                continue
+            ids.append(i)
+            numbers.append(k + 1)
+            texts.append(s)
+            fenced.append(code)
+    return ids, numbers, texts, fenced
+
+
+def _judge(m: Model | None, texts: list[str], mixed: float) -> tuple[list[tuple[str | None, float]], dict[int, list[tuple[int, int, np.ndarray]]]]:
+    """(language, confidence) of each text, and of the unsure ones (start, end, probabilities) of their sentences."""
+    got: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
+    parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    if not m or not texts:
+        return got, parts
+    p, has = m.many(texts)
+    best, top = p.argmax(axis=1), p.max(axis=1)
+    got = [(m.codes[k] if h and v >= m.threshold else None, float(v)) for k, v, h in zip(best, top, has)]
+    scripts = np.fromiter((_HAN.search(x) is not None and _LATIN.search(x) is not None for x in texts), dtype=bool, count=len(texts))
+    unsure = [(n, s, e) for n in np.flatnonzero(has & ((top < mixed) | scripts)) for s, e in _pieces(texts[n])]
+    if unsure:
+        q, known = m.many([texts[n][s:e] for n, s, e in unsure])
+        for (n, s, e), row, h in zip(unsure, q, known):
+            parts.setdefault(n, []).append((s, e, row if h else row * 0))
+    for n, rows in parts.items():
+        # the mean of the sentences' calibrated probabilities, by characters
+        v = sum(row * (e - s) for s, e, row in rows)
+        if total := float(np.sum(v)):
+            k = int(np.argmax(v))
+            got[n] = (m.codes[k] if v[k] / total >= m.threshold else None, float(v[k]) / total)
+    return got, parts
+
+
 def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id", mixed: float = 0.9, every: bool = False) -> DataFrame:
     """(doc_id, block_no, n_chars, language_code, confidence, fenced) of each plain block, or of every block that isn't blank.
 
@@ -243,43 +296,9 @@ def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
         for b in batches:
-            ids, numbers, texts, fenced = [], [], [], []
-            for i, t in zip(b["i"], b["t"]):
-                if not isinstance(t, str):
-                    continue
-                parts = blocks(t)
-                odd = [k for k, x in enumerate(parts) if "```" in x and sum(y.lstrip().startswith("```") for y in x.split("\n")) % 2]
-                # blocks from an opening fence to the one that closes it
-                within = {k for x, y in zip(odd[::2], odd[1::2]) for k in range(x + 1, y + 1)}
-                for k, block in enumerate(parts):
-                    s = block.strip()
-                    code = k in within or s.startswith("```")
-                    if not s or not every and (code or len(s) < 60 or s.startswith("#")):
-                        continue
-                    ids.append(i)
-                    numbers.append(k + 1)
-                    texts.append(s)
-                    fenced.append(code)
-            got: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
-            if m and texts:
-                p, has = m.many(texts)
-                best, top = p.argmax(axis=1), p.max(axis=1)
-                got = [(m.codes[k] if h and v >= m.threshold else None, float(v)) for k, v, h in zip(best, top, has)]
-                # unsure blocks: their sentences vote, each by its characters
-                scripts = np.fromiter((_HAN.search(x) is not None and _LATIN.search(x) is not None for x in texts), dtype=bool, count=len(texts))
-                unsure = [(n, x) for n in np.flatnonzero(has & ((top < mixed) | scripts)) for x in _SENTENCES.split(texts[n]) if x.strip()]
-                if unsure:
-                    q, _ = m.many([x for _, x in unsure])
-                    votes: dict[int, np.ndarray] = {}
-                    for (n, x), row in zip(unsure, q):
-                        votes[n] = votes.get(n, 0) + row * len(x)
-                    for n, v in votes.items():
-                        k, total = int(np.argmax(v)), float(np.sum(v))
-                        if total:
-                            share = float(v[k]) / total
-                            got[n] = (m.codes[k] if share >= m.threshold else None, share)
+            ids, numbers, texts, fenced = _texts(b, every)
+            got, _ = _judge(held.value, texts, mixed)
             if ids:
                 codes = pd.Series([c for c, _ in got], dtype=object)
                 yield pd.DataFrame({"doc_id": ids, "block_no": numbers, "n_chars": [len(t) for t in texts], "language_code": codes, "confidence": [p for _, p in got], "fenced": fenced})
@@ -288,6 +307,53 @@ def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id
     return picked.mapInPandas(run, schema)
 
 
+def merged(sentences: list[tuple[int, int, np.ndarray]], sure: float = 0.8, short: int = 60, surer: float = 0.95) -> list[tuple[int, int, int | None, float]]:
+    """(start, end, code number or None, confidence): runs of sentences in one language.
+
+    A sentence that isn't ``sure`` (one below ``short`` characters: ``surer``) goes with its neighbour.
+    """
+    out: list[list] = []
+    for s, e, row in sentences:
+        k, top = int(np.argmax(row)), float(np.max(row))
+        code = k if top >= (sure if e - s >= short else surer) else None
+        if out and (code is None or out[-1][2] in (None, code)):
+            out[-1][1], out[-1][2] = e, out[-1][2] if code is None else code
+            out[-1][3].append((e - s, row))
+        else:
+            out.append([s, e, code, [(e - s, row)]])
+    return [(s, e, k, 0.0 if k is None else float(sum(n * row[k] for n, row in rows) / sum(n for n, _ in rows))) for s, e, k, rows in out]
+
+
+def segments(documents: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, block_no, segment_no, start_at, n_chars, language_code, confidence) of all text outside fences.
+
+    Every block is judged by its sentences: one in one language is one segment, a mixed one has a
+    segment a run of sentences in one language. start_at counts from 0 within the trimmed block. Segments without a language have null
+    and confidence 0.
+    """
+    schema = "doc_id long, block_no long, segment_no int, start_at long, n_chars long, language_code string, confidence double"
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = held.value
+        for b in batches:
+            ids, numbers, texts, fenced = _texts(b, True)
+            got, parts = _judge(m, texts, 2.0)
+            rows = []
+            for n, (i, no, text, code) in enumerate(zip(ids, numbers, texts, fenced)):
+                if code:
+                    continue
+                if n in parts:
+                    for k, (s, e, c, v) in enumerate(merged(parts[n])):
+                        rows.append((i, no, k, s, e - s, None if c is None else m.codes[c], v))
+                else:
+                    rows.append((i, no, 0, 0, len(text), got[n][0], got[n][1] if got[n][0] else 0.0))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    picked = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    return picked.mapInPandas(run, schema)
+
+
 def document_languages(documents: DataFrame, found_blocks: DataFrame) -> DataFrame:
     """(doc_id, language_code, confidence): the language of most characters of each document.
 

@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -132,6 +133,13 @@ def _p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(documents, language.detect(documents, language.fit(documents), every=True))
 
 
+def _p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    from . import language
+
+    documents = table(spark, d, "documents")
+    return language.segments(documents, language.fit(documents)).withColumn("confidence", F.round("confidence", 6))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
@@ -151,6 +159,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": _p8_shares,
     "p9_found": _p9_found,
     "p9_languages": _p9_languages,
+    "p9_segments": _p9_segments,
 }
 
 

@@ -420,6 +420,12 @@ def test_best_fit_keeps_copies_apart():
     assert len(bins) <= 1.1 * -(-total // 100) + 2
 
 
+def test_sources_apart_is_a_constraint():
+    items = [(10, n, "ab"[n % 2], n) for n in range(12)]
+    assert len(packing.best_fit(items, 100)) == 2 and len(packing.best_fit(items, 100, apart=True)) == 6
+    assert all(len({items[i][2] for i in b}) == len(b) for b in packing.best_fit(items, 100, apart=True))
+
+
 def test_packing(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["a", "b", None]), rng.randrange(1, 700), i // 3) for i in range(3000)] + [(9001, "a", 1300, -1), (9002, "a", 0, -2), (9003, "a", None, -3), (9004, "a", -5, -4), (None, "a", 5, -5)]
@@ -511,6 +517,19 @@ def test_every_document_and_block_gets_a_language(spark):
     assert {(r["doc_id"], r["block_no"]) for r in language.detect(few, model).collect()} == {(3, 3), (3, 4), (7, 1)}
 
 
+def test_segments_of_mixed_blocks(spark):
+    rng = random.Random(18)
+    rows = [(i, block(rng, c), c) for i, c in enumerate(list(SAMPLES) * 40, 100)]
+    half = {c: block(rng, c) for c in SAMPLES}
+    odd = [(1, half["de"] + ". " + half["fr"] + ".\n\n" + half["en"], "de"), (2, half["zh"] + "。" + half["en"], "zh"), (3, "12 34 56", "en"), (4, "```\n" + half["de"] + "\n```", "en"), (5, None, None), (6, "", "en")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = language.fit(df, 60)
+    got = language.segments(df.where("doc_id < 100"), model).orderBy("doc_id", "block_no", "segment_no").collect()
+    assert [(r["doc_id"], r["block_no"], r["segment_no"], r["language_code"]) for r in got] == [(1, 1, 0, "de"), (1, 1, 1, "fr"), (1, 2, 0, "en"), (2, 1, 0, "zh"), (2, 1, 1, "en"), (3, 1, 0, None)]
+    assert got[1]["start_at"] == len(half["de"]) + 2 and all(r["confidence"] > 0.5 for r in got[:5]) and got[5]["confidence"] == 0
+    assert language.segments(df.where("false"), None).count() == 0
+
+
 def test_label_spellings(spark):
     df = spark.createDataFrame([("EN",), (" zh-Hans ",), ("deu",), ("unknown",), ("",), (None,), ("pt_BR",)], "l string")
     assert [r[0] for r in df.select(language.label_code(F.col("l"))).collect()] == ["en", "zh", "de", None, None, None, "pt"]
