@@ -29,11 +29,18 @@ def reciprocal(rank: Column) -> Column:
     return F.coalesce(1.0 / (F.lit(RRF) + rank), F.lit(0.0))
 
 
-def ranks(chunks: DataFrame, query: str, vector: list[float], most: int, suffixes: list[str]) -> DataFrame:
-    """(chunk_id, v, f, l, m): each retriever's rank up to ``most``; l only where full text found nothing."""
-    full = cut(R.full_text(chunks, query, most, suffixes).select("chunk_id", F.col("rank").alias("f")))  # read twice, at most ``most`` rows
-    none = full.agg(F.count("*").alias("found"))
-    fallback = R.substring_match(chunks, query, most, suffixes).crossJoin(F.broadcast(none)).where("found = 0").select("chunk_id", F.col("rank").alias("l"))  # one row
+Index = tuple[DataFrame, DataFrame]
+
+
+def ranks(chunks: DataFrame, query: str, vector: list[float], most: int, suffixes: list[str], index: Index | None = None) -> DataFrame:
+    """(chunk_id, v, f, l, m): each retriever's rank up to ``most``; l only where full text found nothing.
+
+    index: stored postings and lengths; without them the contents are counted.
+    """
+    full = R.full_text_indexed(*index, query, most, suffixes) if index else R.full_text(chunks, query, most, suffixes)
+    full = cut(full.select("chunk_id", F.col("rank").alias("f")))  # read twice, at most ``most`` rows
+    # whether the fallback is needed is known by now: contents are only searched where it is
+    fallback = (R.substring_match(chunks, query, most, suffixes) if full.isEmpty() else chunks.where("false").withColumn("rank", F.lit(0))).select("chunk_id", F.col("rank").alias("l"))
     parts = [
         R.vector_knn(chunks, vector, most, suffixes).select("chunk_id", F.col("rank").alias("v")),
         full,
@@ -62,23 +69,23 @@ def boost(query: str) -> Column:
     return direct + F.lit(0.02) * T.coverage(place, terms) + F.lit(0.008) * T.coverage(F.col("content"), terms)
 
 
-def search(chunks: DataFrame, query: str, vector: list[float], limit: int = 8, suffixes: list[str] | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: str, vector: list[float], limit: int = 8, suffixes: list[str] | None = None, index: Index | None = None) -> DataFrame:
     """(chunk_id, document_id, source_key, source_kind, path, section, snippet, score), best first."""
     wanted = T.normalize_suffixes(suffixes or [])
-    found = at_step(ranks(chunks, query, vector, ladder(limit)[-1], wanted), limit)
+    found = at_step(ranks(chunks, query, vector, ladder(limit)[-1], wanted, index), limit)
     if T.needs_lexical_match(query):
         # an identifier that no lexical retriever knows has no hits, whatever is near by vector
         seen = found.agg(F.count_if(F.coalesce("f", "l", "m").isNotNull()).alias("lexical"))
         found = found.crossJoin(F.broadcast(seen)).where("lexical > 0").drop("lexical")  # one row
-    rows = chunks.join(found, "chunk_id")
+    rows = chunks.join(F.broadcast(found), "chunk_id")  # at most four times the ladder's last step
     score = reciprocal(F.col("v")) + reciprocal(F.col("f")) + reciprocal(F.col("l")) + boost(query)
     out = rows.select("chunk_id", "document_id", "source_key", "source_kind", "path", "section", T.snippet(F.col("content"), query).alias("snippet"), F.round(score, 12).alias("score"))
     return out.orderBy(F.col("score").desc(), "document_id", "chunk_id").limit(limit)
 
 
-def diagnostics(chunks: DataFrame, query: str, vector: list[float], limit: int = 8, suffixes: list[str] | None = None) -> DataFrame:
+def diagnostics(chunks: DataFrame, query: str, vector: list[float], limit: int = 8, suffixes: list[str] | None = None, index: Index | None = None) -> DataFrame:
     """One row: candidates of each retriever, which were used, and whether ranks were fused."""
-    found = at_step(ranks(chunks, query, vector, ladder(limit)[-1], T.normalize_suffixes(suffixes or [])), limit)
+    found = at_step(ranks(chunks, query, vector, ladder(limit)[-1], T.normalize_suffixes(suffixes or []), index), limit)
     counts = found.agg(*[F.count(c).alias(n) for c, n in (("v", "vector_candidates"), ("f", "fts_candidates"), ("l", "lexical_candidates"), ("m", "metadata_candidates"))])
     used = F.concat_ws(",", *[F.when(F.col(f"{n}_candidates") > 0, n) for n in ("vector", "fts", "lexical", "metadata")])
     fused = (F.col("vector_candidates") > 0) | (F.col("fts_candidates") > 0) | (F.col("lexical_candidates") > 0)

@@ -38,7 +38,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(T.tokens(F.col("content"))).cast("long").alias("dl"))
+    return chunks.select("chunk_id", F.size(T.tokens(F.col("content"))).cast("long").alias("dl"), "path")
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -69,13 +69,14 @@ def full_text(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | N
     return _ranked(scored, [F.col("score").desc(), F.col("chunk_id").asc()], limit)
 
 
-def full_text_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int) -> DataFrame:
-    """The same ranking from stored postings and lengths: reads only the query's terms."""
+def full_text_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
+    """The same ranking from stored postings and lengths (with paths, for suffixes): reads only the query's terms."""
     terms = T.terms_of(query)[: T.QUERY_TOKENS]
-    hits = index.where(F.col("term").isin(*terms)) if terms else index.where("false")
+    hits = (index.where(F.col("term").isin(*terms)) if terms else index.where("false")).select("term", "chunk_id", "tf")
     stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(F.broadcast(df), "term").join(sizes, "chunk_id").crossJoin(F.broadcast(stats))  # at most eight rows, and one
+    kept = sizes.where(T.has_suffix(F.col("path"), suffixes)) if suffixes else sizes
+    joined = hits.join(F.broadcast(df), "term").join(kept.select("chunk_id", "dl"), "chunk_id").crossJoin(F.broadcast(stats))  # at most eight rows, and one
     tf = F.col("tf").cast("double")
     part = _idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     order = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))]) if terms else F.lit(None)

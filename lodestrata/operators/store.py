@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.embedding import Fingerprint
 from lodestrata.functions.redaction import redact_deep, redact_text_literal, redact_url
+from lodestrata.functions.text import tokens
+from lodestrata.session import Folder, cut
 
 SCHEMA_VERSION = "4"
 DOCUMENTS = "id long, source_key string, source_kind string, source_locator string, canonical_locator string, path string, language string, title string, content_hash string, content string, created_at string"
@@ -55,77 +59,177 @@ def index_state(has_tables: bool, failed: int, stored: dict | None, wanted: dict
     return {"needs_rebuild": False, "full": False, "reason": None}
 
 
-class Store:
-    """One warehouse folder a scope. A source is one partition, replaced as a whole."""
+class Conflict(RuntimeError):
+    """Another writer changed the index meanwhile."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
 
-    def exists(self, name: str) -> bool:
-        return (self.folder / name).exists()
+#: Schemas of the stored tables; chunks carry their document's place, so that a retriever reads one table.
+TABLES = {
+    "documents": DOCUMENTS,
+    "chunks": CHUNKS + ", source_kind string, path string",
+    "postings": "term string, chunk_id long, tf long, source_key string",
+    "lengths": "chunk_id long, dl long, path string, source_key string",
+}
+_LIVE = "source_key string, batch string"
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(self.folder / name))
 
-    documents = property(lambda self: self.read("documents", DOCUMENTS))
-    chunks = property(lambda self: self.read("chunks", CHUNKS))
-    manifests = property(lambda self: self.read("manifests", MANIFESTS))
+class Store:
+    """An index in a folder of any file system that Spark writes to.
+
+    A write puts the rows of its sources into a new batch of each table, then the list of live
+    sources and the manifests into new folders, and at last one small file that names them: readers
+    see all of a write or nothing, and a reader keeps the state it opened. A second writer that
+    comes between is found by the file's number, and the write is tried again. Batches that no
+    state names are removed by ``vacuum``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, Folder(spark, folder)
+
+    def snapshot(self) -> dict:
+        """The last state: its number, folders and metadata."""
+        numbers = [int(n.removesuffix(".json")) for n in self.folder.names("states") if n.endswith(".json") and n[0] != "."]
+        if not numbers:
+            return {"number": 0, "live": None, "manifests": None, "metadata": {}}
+        return json.loads(self.folder.read(f"states/{max(numbers):012d}.json"))
+
+    def _commit(self, change: Callable[[dict], dict], attempts: int = 3) -> dict:
+        """Put a state after the last one; ``change`` makes it from that and may write tables."""
+        for attempt in range(attempts):
+            last = self.snapshot()
+            state = change(last) | {"number": last["number"] + 1}
+            if self.folder.create(f"states/{state['number']:012d}.json", json.dumps(state, sort_keys=True)):
+                return state
+            time.sleep(0.2 * (attempt + 1))
+        raise Conflict(self.folder.path)
+
+    def _new(self, kind: str, df: DataFrame) -> str:
+        name = f"{kind}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder.path}/{name}")
+        return name
+
+    def _table(self, name: str | None, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder.path}/{name}") if name else self.spark.createDataFrame([], schema)
+
+    def read(self, name: str, state: dict | None = None) -> DataFrame:
+        """The live rows of a table."""
+        state = state or self.snapshot()
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        if not state["live"] or not self.folder.exists(f"data/{name}"):
+            return self.spark.createDataFrame([], TABLES[name])
+        rows = self.spark.read.schema(f"{TABLES[name]}, batch string").parquet(f"{self.folder.path}/data/{name}")
+        # partitions of batches that aren't live are pruned by the join
+        return rows.join(self._table(state["live"], _LIVE), ["batch", "source_key"]).select(*columns)
+
+    documents = property(lambda self: self.read("documents"))
+    chunks = property(lambda self: self.read("chunks"))
+    postings = property(lambda self: self.read("postings"))
+    lengths = property(lambda self: self.read("lengths"))
+    manifests = property(lambda self: self._table(self.snapshot()["manifests"], MANIFESTS))
+
+    @property
+    def searchable(self) -> DataFrame:
+        """Chunks as the retrievers read them."""
+        return self.chunks.withColumnRenamed("id", "chunk_id")
+
+    def exists(self) -> bool:
+        return self.snapshot()["live"] is not None
 
     def initialise(self) -> None:
-        for name, schema in (("documents", DOCUMENTS), ("chunks", CHUNKS), ("manifests", MANIFESTS)):
-            if not self.exists(name):
-                self.spark.createDataFrame([], schema).write.parquet(str(self.folder / name))
-        self.set_metadata("schema_version", SCHEMA_VERSION)
+        """Empty tables, where there are none."""
+        if not self.exists():
+            self._commit(lambda last: last | {"live": self._new("live", self.spark.createDataFrame([], _LIVE)), "metadata": last["metadata"] | {"schema_version": SCHEMA_VERSION}})
+
+    def reset(self) -> None:
+        """Empty tables; manifests and metadata stay."""
+        self._commit(lambda last: last | {"live": self._new("live", self.spark.createDataFrame([], _LIVE))})
 
     def metadata(self) -> dict[str, str]:
-        f = self.folder / "metadata.json"
-        return json.loads(f.read_text()) if f.exists() else {}
+        return self.snapshot()["metadata"]
 
     def set_metadata(self, key: str, value: str | None) -> None:
-        all_ = {k: v for k, v in (self.metadata() | {key: value}).items() if v is not None}
-        self.folder.mkdir(parents=True, exist_ok=True)
-        (self.folder / "metadata.new").write_text(json.dumps(all_, sort_keys=True))
-        (self.folder / "metadata.new").replace(self.folder / "metadata.json")
-
-    def _drop(self, name: str, source_key: str | None = None) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        target = self.folder / name
-        paths = [target] if source_key is None else [p for p in target.glob("source_key=*") if p.name == "source_key=" + self._escaped(source_key)]
-        for p in paths:
-            path = hadoop.Path(str(p.absolute()))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _escaped(self, value: str) -> str:
-        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
-
-    def delete_source(self, source_key: str) -> None:
-        for name in ("documents", "chunks"):
-            self._drop(name, source_key)
+        self._commit(lambda last: last | {"metadata": {k: v for k, v in (last["metadata"] | {key: value}).items() if v is not None}})
+
+    def replace_sources(self, keys: DataFrame, documents: DataFrame, chunks: DataFrame, now: str) -> None:
+        """Replace all documents and chunks of the sources in ``keys`` (source_key); those without rows are removed.
+
+        One write a table, however many sources there are. A path that stands twice in a source is an error.
+        """
+        keys = cut(keys.select("source_key").distinct())
+        taken = documents.join(keys, "source_key", "left_semi")
+        twice = taken.groupBy("source_key", "path").count().where("count > 1").select("source_key", "path").first()
+        if twice:
+            raise ValueError(f"a path stands twice in {twice['source_key']}: {twice['path']}")
+        batch = uuid.uuid4().hex
+        placed = chunks.join(keys, "source_key", "left_semi")
+        places = taken.select(F.col("id").alias("document_id"), "source_kind", "path")
+        placed = placed.drop("source_kind", "path").join(places, "document_id")
+        self._write("documents", taken, batch)
+        self._write("chunks", placed, batch)
+        written = self._batch("chunks", batch).withColumnRenamed("id", "chunk_id")
+        terms = written.select("source_key", "chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("term", "chunk_id", "source_key").agg(F.count("*").alias("tf"))
+        # sorted by term: a search reads the row groups of its terms only
+        self._write("postings", terms.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), batch, apart=False)
+        self._write("lengths", written.select("source_key", "chunk_id", F.size(tokens(F.col("content"))).cast("long").alias("dl"), "path"), batch, apart=False)
+        full = self._batch("documents", batch).select("source_key", F.lit(batch).alias("batch")).distinct()
+
+        def change(last: dict) -> dict:
+            kept = self._table(last["live"], _LIVE).join(keys, "source_key", "left_anti")
+            live = self._new("live", kept.select("source_key", "batch").unionByName(full.join(keys, "source_key", "left_semi")))
+            return last | {"live": live, "metadata": last["metadata"] | {"last_ingest_at": now, "schema_version": SCHEMA_VERSION}}
+
+        self._commit(change)
+
+    def _batch(self, name: str, batch: str) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[name]}, batch string").parquet(f"{self.folder.path}/data/{name}").where(F.col("batch") == batch).drop("batch")
+
+    def _write(self, name: str, df: DataFrame, batch: str, apart: bool = True) -> None:
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        by = ["batch", "source_key"] if apart else ["batch"]
+        df.select(*columns).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy(*by).parquet(f"{self.folder.path}/data/{name}")
 
     def replace_source(self, source_key: str, documents: DataFrame, chunks: DataFrame, now: str) -> tuple[int, int]:
-        """Replace all documents and chunks of a source; an empty input removes it. Returns their counts."""
-        taken = documents.where(F.col("source_key") == source_key)
-        if taken.groupBy("path").count().where("count > 1").limit(1).count():
-            raise ValueError(f"a path stands twice in {source_key}")
-        for name, df in (("documents", taken), ("chunks", chunks.where(F.col("source_key") == source_key))):
-            if df.isEmpty():
-                self._drop(name, source_key)
-            else:
-                df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(str(self.folder / name))
-        self.set_metadata("last_ingest_at", now)
+        """Replace one source; an empty input removes it. Returns the counts of its documents and chunks."""
+        self.replace_sources(self.spark.createDataFrame([(source_key,)], "source_key string"), documents, chunks, now)
         mine = F.col("source_key") == source_key
         return self.documents.where(mine).count(), self.chunks.where(mine).count()
 
-    def _rewrite_manifests(self, df: DataFrame) -> None:
-        rows = df.collect()  # one row a source, small by nature
-        self.spark.createDataFrame(rows, MANIFESTS).coalesce(1).write.mode("overwrite").parquet(str(self.folder / "manifests"))
+    def delete_sources(self, keys: DataFrame) -> None:
+        self._commit(lambda last: last | {"live": self._new("live", self._table(last["live"], _LIVE).join(keys, "source_key", "left_anti").select("source_key", "batch"))})
 
-    def record_manifest(self, source_key: str, source_kind: str, provider: str, root_locator: str, payload: dict, now: str) -> None:
+    def delete_source(self, source_key: str) -> None:
+        self.delete_sources(self.spark.createDataFrame([(source_key,)], "source_key string"))
+
+    def vacuum(self) -> int:
+        """Remove the batches, lists and states that the last state doesn't name; returns how many."""
+        state, gone = self.snapshot(), 0
+        live = {r["batch"] for r in self._table(state["live"], _LIVE).select("batch").distinct().collect()}  # one row a write
+        for name in TABLES:
+            for part in self.folder.names(f"data/{name}"):
+                if part.startswith("batch=") and part[6:] not in live:
+                    self.folder.delete(f"data/{name}/{part}")
+                    gone += 1
+        for kind in ("live", "manifests"):
+            for part in self.folder.names(kind):
+                if f"{kind}/{part}" != state[kind]:
+                    self.folder.delete(f"{kind}/{part}")
+                    gone += 1
+        for part in self.folder.names("states"):
+            if part.endswith(".json") and part != f"{state['number']:012d}.json":
+                self.folder.delete(f"states/{part}")
+        return gone
+
+    def _change_manifests(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        self._commit(lambda last: last | {"manifests": self._new("manifests", change(self._table(last["manifests"], MANIFESTS)).select([c.split()[0] for c in MANIFESTS.split(", ")]))})
+
+    def record_manifests(self, fresh: DataFrame) -> None:
+        self._change_manifests(lambda known: upsert_manifests(known, fresh))
+
+    def record_manifest(self, source_key: str, source_kind: str, provider: str, root_locator: str, payload: dict, now: str, display_locator: str | None = None) -> None:
         shown = redact_url(root_locator) or root_locator
-        row = (source_key, source_kind, provider, shown, shown, json.dumps(redact_deep(payload), sort_keys=True), now, now, now, "idle", None, 0, None, None)
-        self._rewrite_manifests(upsert_manifests(self.manifests, self.spark.createDataFrame([row], MANIFESTS)))
+        display = redact_url(display_locator or root_locator) or display_locator or root_locator
+        row = (source_key, source_kind, provider, shown, display, json.dumps(redact_deep(payload), sort_keys=True), now, now, now, "idle", None, 0, None, None)
+        self.record_manifests(self.spark.createDataFrame([row], MANIFESTS))
 
     def record_rebuild(self, source_key: str, status: str, attempts: int, now: str, error: str | None = None) -> None:
         if status not in ("idle", "success", "failed"):
@@ -134,10 +238,10 @@ class Store:
         changes = {"last_rebuild_status": status, "last_rebuild_error": None if error is None else redact_text_literal(error), "last_rebuild_attempts": attempts, "last_rebuild_at": now}
         if status == "success":
             changes["last_rebuild_success_at"] = now
-        self._rewrite_manifests(self.manifests.withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}))
+        self._change_manifests(lambda known: known.withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}))
 
     def delete_manifest(self, source_key: str) -> None:
-        self._rewrite_manifests(self.manifests.where(F.col("source_key") != source_key))
+        self._change_manifests(lambda known: known.where(F.col("source_key") != source_key))
 
     def fingerprint(self) -> dict | None:
         raw = self.metadata().get("embedding_fingerprint")
@@ -147,18 +251,19 @@ class Store:
         self.set_metadata("embedding_fingerprint", json.dumps(f.json(), sort_keys=True) if f else None)
 
     def state(self, wanted: Fingerprint) -> dict:
-        return index_state(self.exists("documents"), self.manifests.where("last_rebuild_status = 'failed'").count(), self.fingerprint(), wanted.json())
+        return index_state(self.exists(), self.manifests.where("last_rebuild_status = 'failed'").count(), self.fingerprint(), wanted.json())
 
     def stats(self) -> dict:
         m = self.manifests.agg(F.count("*").alias("n"), F.count_if(F.col("last_rebuild_status") == "failed").alias("failed")).first()
+        c = self.chunks.agg(F.count("*").alias("n"), F.count("embedding").alias("v")).first()
         return {
-            "documents": self.documents.count(), "chunks": self.chunks.count(), "vectors": self.chunks.where("embedding is not null").count(), "has_index": self.exists("chunks"),
+            "documents": self.documents.count(), "chunks": c["n"], "vectors": c["v"], "has_index": self.exists(),
             "manifests": m["n"], "failed": m["failed"], "fingerprint": self.fingerprint(),
         }
 
     def doctor(self, wanted: Fingerprint | None = None) -> dict:
-        """missing, degraded or ok. Without a wanted fingerprint a stored one is enough."""
-        if not self.exists("documents"):
+        """missing, degraded or ok; writes nothing. Without a wanted fingerprint a stored one is enough."""
+        if not self.exists():
             return {"status": "missing", "reason": "index bootstrap required"}
         stored = self.fingerprint()
         wanted_json = wanted.json() if wanted else (stored or {"": None})
@@ -166,9 +271,13 @@ class Store:
         return {"status": "degraded" if got["needs_rebuild"] else "ok", "reason": got["reason"]}
 
     def clear(self) -> None:
-        for name in ("documents", "chunks", "manifests"):
-            self._drop(name)
-        (self.folder / "metadata.json").unlink(missing_ok=True)
+        self.folder.delete()
+
+    def search(self, query: str, vector: list[float], limit: int = 8, suffixes: list[str] | None = None) -> DataFrame:
+        """Hybrid search over the stored chunks, postings and lengths."""
+        from . import fusion
+
+        return fusion.search(self.searchable, query, vector, limit, suffixes, index=(self.postings, self.lengths))
 
 
 def rebuild(store: Store, ingest, wanted: Fingerprint, now, *, source_key: str | None = None, failed_only: bool = False, retry: int = 2, fail_fast: bool = False) -> dict:
@@ -185,9 +294,8 @@ def rebuild(store: Store, ingest, wanted: Fingerprint, now, *, source_key: str |
     chosen = [m for m in manifests if (source_key is None or m["source_key"] == source_key) and (not failed_only or m["last_rebuild_status"] == "failed")]
     if not manifests and not failed_only:
         store.initialise()
-    if chosen and not failed_only and source_key is None:
-        for m in manifests:
-            store.delete_source(m["source_key"])
+    if chosen and not failed_only and (source_key is None or full):
+        store.reset()
     result = {"rebuilt": [], "failed": []}
     for m in chosen:
         error, attempts = None, 0

@@ -12,12 +12,11 @@ from lodestrata.operators.store import Store
 
 
 def learn_batch(store: Store, documents: DataFrame, embedder: EmbeddingProvider, now: str, size: int = 1200, overlap: int = 150) -> None:
-    """Chunk, embed and write the sources that a batch holds. Chunk ids follow from document and place."""
+    """Chunk, embed and write the sources that a batch holds, in one write. Chunk ids follow from document and place."""
     documents = documents.dropDuplicates(["id"])
     made = chunk(documents, size, overlap).withColumns({"id": F.col("document_id") * 100_000 + F.col("chunk_index"), "created_at": F.lit(now), "embedding": embedder.embed(F.col("content"))})
     rows = made.join(documents.select(F.col("id").alias("document_id"), "source_key"), "document_id")
-    for (key,) in documents.select("source_key").distinct().collect():  # the batch's sources
-        store.replace_source(key, documents, rows, now)
+    store.replace_sources(documents.select("source_key"), documents, rows, now)
 
 
 def learn_stream(stream: DataFrame, store: Store, embedder: EmbeddingProvider, checkpoint: str, now) -> StreamingQuery:
