@@ -46,6 +46,26 @@ def redact_url(raw: str, drop_fragment: bool = False) -> str | None:
     return out
 
 
+def network_url(raw: str) -> str:
+    """A URL to call with: without user and password, sensitive parameters and fragment."""
+    m = _PARTS.match(raw.strip())
+    if not m:
+        return raw.strip()
+    scheme, authority, path, query, _ = m.groups()
+    user, at, host = authority.rpartition("@")
+    # over ssh the user name is part of the address
+    kept = f"{user.partition(':')[0]}@" if at and scheme.lower() == "ssh" else ""
+    pairs = [p for p in (query or "").split("&") if p and unquote(p.partition("=")[0]).lower() not in SENSITIVE]
+    return f"{scheme.lower()}://{kept}{host}{path}" + ("?" + "&".join(pairs) if pairs else "")
+
+
+def lookup_path(path: str) -> str:
+    """A document's path as it is stored: redacted if it is a URL, else with forward slashes and no leading dot."""
+    if re.match(r"[A-Za-z]+://", path):
+        return redact_url(path) or path
+    return re.sub(r"^\./", "", path.replace("\\", "/"))
+
+
 def redact_text_literal(text: str) -> str:
     return _URL_IN_TEXT.sub(lambda m: redact_url(m[0]) or m[0], text)
 

@@ -32,6 +32,11 @@ def estimate_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(c) / 4)).cast("int")
 
 
+def tokens_of_literal(text: str) -> int:
+    """``estimate_tokens`` of a literal."""
+    return max(1, -(-len(text) // 4))
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 

@@ -3,7 +3,10 @@ window depends on the piece before it, which no built-in expression states as si
 
 from __future__ import annotations
 
+import ast
 import re
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,54 +55,175 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
         at = max(end - overlap, at + 1)
 
 
-# What starts a top-level declaration, and where its name stands.
-_DECLARATIONS = {
-    "python": re.compile(r"^(?:async\s+def|def|class)\s+(\w+)", re.M),
-    "typescript": re.compile(r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum|namespace|const|let|var)\s+([\w$]+)", re.M),
-    "go": re.compile(r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+|var\s+|const\s+)(\w+)", re.M),
-    "rust": re.compile(r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|mod|type|const|static)\s+(\w+)", re.M),
-    "java": re.compile(r"^\s{0,4}(?:public|private|protected|static|final|abstract|\s)*(?:class|interface|enum|record)\s+(\w+)", re.M),
-    "c": re.compile(r"^(?:static\s+|inline\s+|extern\s+|const\s+)*(?:struct\s+|enum\s+|union\s+)?[A-Za-z_]\w*[\s*]+(\w+)\s*(?:\([^;{]*\)\s*\{|\{)", re.M),
+# Languages that are cut along their structure, by extension.
+STRUCTURED = {
+    ".bash": "bash", ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "csharp", ".css": "css", ".cxx": "cpp", ".dart": "dart", ".el": "elisp", ".elm": "elm", ".ex": "elixir", ".exs": "elixir",
+    ".go": "go", ".h": "c", ".hpp": "cpp", ".html": "html", ".htm": "html", ".hxx": "cpp", ".java": "java", ".js": "javascript", ".json": "json", ".jsx": "javascript", ".kt": "kotlin",
+    ".kts": "kotlin", ".lua": "lua", ".mli": "ocaml", ".ml": "ocaml", ".php": "php", ".py": "python", ".ql": "ql", ".rb": "ruby", ".res": "rescript", ".resi": "rescript", ".rs": "rust",
+    ".scala": "scala", ".scss": "css", ".sh": "bash", ".sol": "solidity", ".swift": "swift", ".toml": "toml", ".ts": "typescript", ".tsx": "tsx", ".vue": "vue", ".yaml": "yaml", ".yml": "yaml",
+    ".zig": "zig", ".zsh": "bash",
 }
-_FAMILY = {"tsx": "typescript", "javascript": "typescript", "jsx": "typescript", "cpp": "c"}
+_DECLARED = re.compile(
+    r"(?:(?:export|default|pub(?:\([^)]*\))?|public|private|protected|internal|static|final|abstract|async|inline|extern|unsafe|override|virtual|sealed|data|open|declare)\s+)*"
+    r"(?:function\*?|class|interface|type|enum|namespace|module|mod|struct|trait|impl|union|record|object|contract|def|fn|func|fun|sub|const|let|var|static)\s+(?:\([^)]*\)\s*)?([\w$]+)"
+)
+_CALLABLE = re.compile(r"(?:[\w<>\[\],*&:~$ \t]+[ \t*&])?([A-Za-z_$][\w$]*)\s*\([^;{]*\)[^;{]*\{")
+_CONTROL = frozenset("if for while switch catch return else do try with match foreach unless until elif".split())
+_CLOSING = re.compile(r"[)\]}]|end\b|else\b|elif\b|except\b|finally\b|catch\b|fi\b|done\b|esac\b")
 
 
-def code_pieces(text: str, basename: str, language: str, size: int) -> list[tuple[str, str]]:
-    """Groups of whole declarations within ``size``; larger ones are cut without overlap.
+@dataclass
+class Part:
+    """A stretch of code: its characters, the name that it declares, the parts within it."""
 
-    The section is ``file · name`` of a group's first declaration. Languages without a declaration
-    pattern fall back to plain windows by the caller.
+    start: int
+    end: int
+    name: str | None = None
+    parts: list[Part] = field(default_factory=list)
+
+    def symbol(self) -> str | None:
+        """Its own name, else the first name among its parts, else that of its only part."""
+        named = next((p.name for p in self.parts if p.name), None)
+        return self.name or named or (self.parts[0].symbol() if len(self.parts) == 1 else None)
+
+
+def declared(line: str) -> str | None:
+    s = line.strip()
+    if m := _DECLARED.match(s):
+        return m[1]
+    m = _CALLABLE.match(s)
+    return m[1] if m and m[1] not in _CONTROL and s.split("(", 1)[0].split()[0] not in _CONTROL else None
+
+
+def _by_indent(lines: list[str], starts: list[int], lo: int, hi: int, deep: int) -> list[Part]:
+    """Parts of the lines lo..hi: each begins at a line of the least indent that closes nothing."""
+    filled = [i for i in range(lo, hi) if lines[i].strip()]
+    if not filled or deep > 40:
+        return []
+    indents = {i: len(lines[i]) - len(lines[i].lstrip()) for i in filled}
+    least = min(indents.values())
+    heads = [i for i in filled if indents[i] == least and not _CLOSING.match(lines[i].strip())] or filled[:1]
+    if heads[0] != filled[0]:
+        heads.insert(0, filled[0])
+    out = []
+    for head, after in zip(heads, [*heads[1:], hi]):
+        mine = [i for i in filled if head <= i < after]
+        last = mine[-1]
+        inner = [i for i in mine if indents[i] > least]
+        below = _by_indent(lines, starts, inner[0], inner[-1] + 1, deep + 1) if inner else []
+        out.append(Part(starts[head], starts[last] + len(lines[last]), declared(lines[head]), below))
+    return out
+
+
+def _by_syntax(lines: list[str], starts: list[int], body: list[ast.stmt]) -> list[Part]:
+    out = []
+    for node in body:
+        first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1
+        inner = [x for name in ("body", "orelse", "finalbody") for x in getattr(node, name, []) if isinstance(x, ast.stmt)]
+        name = node.name if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) else None
+        out.append(Part(starts[first], starts[node.end_lineno - 1] + len(lines[node.end_lineno - 1]), name, _by_syntax(lines, starts, inner)))
+    return [p for n, p in enumerate(out) if not n or p.start >= out[n - 1].end]
+
+
+def outline(text: str, language: str) -> Part:
+    """The tree of a file: Python's by its syntax, others' (and broken files') by indentation."""
+    lines = text.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
+    parts = None
+    if language == "python":
+        try:
+            parts = _by_syntax(lines, starts, ast.parse(text).body)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass
+    return Part(0, len(text), None, _by_indent(lines, starts, 0, len(lines), 0) if parts is None else parts)
+
+
+def code_text(text: str) -> str:
+    """LF line ends, no blank lines at the ends, indentation as it is."""
+    return re.sub(r"(?:\n[^\S\n]*)+$", "", re.sub(r"^(?:[^\S\n]*\n)+", "", text.replace("\r\n", "\n")))
+
+
+def code_windows(text: str, size: int) -> list[str]:
+    """Pieces of code of at most ``size`` characters without overlap; indentation stays."""
+    text, out, at = code_text(text), [], 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        if end < len(text):
+            b = max(text.rfind("\n", 0, end + 1), text.rfind(" ", 0, end + 1))
+            if b > at + int(0.6 * size):
+                end = b
+        if (piece := code_text(text[at:end])).strip():
+            out.append(piece)
+        at = max(end, at + 1)
+    return out
+
+
+def code_pieces(text: str, basename: str, size: int) -> list[tuple[str, str]]:
+    """Pieces along a file's structure: a part within ``size`` is one; else neighbouring parts are put together
+    as long as they fit, and one that is too large alone is cut by its own parts, or by windows.
+
+    The section is the file and the names of the parts that a piece stands in, the last of them its own where
+    it has one part. Languages without structure give nothing.
     """
-    pattern = _DECLARATIONS.get(_FAMILY.get(language, language))
-    body = re.sub(r"(?:\n[^\S\n]*)+$", "", re.sub(r"^(?:[^\S\n]*\n)+", "", text.replace("\r\n", "\n")))
-    starts = [(m.start(), m[1]) for m in pattern.finditer(body)] if pattern else []
-    if not starts:
+    language = STRUCTURED.get(re.sub(r"^.*(?=\.)", "", basename).lower())
+    if language is None:
         return []
-    if starts[0][0] > 0:
-        starts.insert(0, (0, ""))
-    ends = [s for s, _ in starts[1:]] + [len(body)]
+    body = text.replace("\r\n", "\n")
     out: list[tuple[str, str]] = []
-    at = 0
-    while at < len(starts):
-        start, name = starts[at]
-        last = at
-        while last + 1 < len(starts) and len(body[start : ends[last + 1]].strip("\n")) <= size and (last == at or ends[last + 1] - start <= size):
-            last += 1
-        piece = body[start : ends[last]].strip("\n")
-        name = name or next((n for _, n in starts[at : last + 1] if n), "")
-        section = f"{basename} · {name}" if name else basename
-        out += [(section, p) for p in ([piece] if len(piece) <= size else windows(piece, size, 0))]
-        at = last + 1
-    return [(s, p) for s, p in out if p.strip()]
-
-
-def pieces(path: Column, language: Column, content: Column, size: int, overlap: int) -> Column:
-    """array<struct<section, content>> of a document: by sections, declarations or plain windows."""
+
+    def section(path: list[str]) -> str:
+        return " · ".join([basename, *path])
+
+    def within(path: list[str], name: str | None) -> list[str]:
+        return path if not name or path[-1:] == [name] else [*path, name]
+
+    def put(piece: str, path: list[str]) -> None:
+        piece = code_text(piece)
+        if piece.strip():
+            out.extend((section(path), x) for x in ([piece] if len(piece) <= size else code_windows(piece, size)))
+
+    def split(part: Part, path: list[str], whole: bool = False) -> None:
+        inner = within(path, part.symbol())
+        if len(code_text(body[part.start : part.end])) <= size or not part.parts:
+            put(body[part.start : part.end], inner)
+            return
+        path = path if whole else inner  # a file that is cut goes by its own name
+        groups: list[list[Part]] = []
+        for p in part.parts:
+            if groups and len(code_text(body[groups[-1][0].start : p.end])) <= size:
+                groups[-1].append(p)
+            else:
+                groups.append([p])
+        for n, group in enumerate(groups):
+            if len(group) == 1 and group[0].end - group[0].start > size:
+                split(group[0], path)
+                continue
+            # what stands between groups goes with both
+            begin = groups[n - 1][-1].end if n else part.start
+            end = groups[n + 1][0].start if n + 1 < len(groups) else part.end
+            put(body[begin:end], within(path, group[0].symbol() if len(group) == 1 else None))
+
+    split(outline(body, language), [], True)
+    return out
+
+
+def sections_of(path: Column, content: Column) -> Column:
+    """array<struct<section, content>> of a Markdown document, before any cutting."""
+
+    @F.pandas_udf(PIECE)
+    def run(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([[{"section": s, "content": b} for s, b in markdown_sections(t, (p or "").rsplit("/", 1)[-1]) if b] if isinstance(t, str) else [] for p, t in zip(paths, contents)])
+
+    return run(path, content)
+
+
+def pieces(path: Column, content: Column, size: int, overlap: int) -> Column:
+    """array<struct<section, content>> of a document: by sections, structure or plain windows."""
 
     @F.pandas_udf(PIECE)
-    def run(paths: pd.Series, languages: pd.Series, contents: pd.Series) -> pd.Series:
+    def run(paths: pd.Series, contents: pd.Series) -> pd.Series:
         out = []
-        for p, lang, t in zip(paths, languages, contents):
+        for p, t in zip(paths, contents):
             if not isinstance(t, str) or not t.strip(_BLANK):
                 out.append([])
                 continue
@@ -107,16 +231,16 @@ def pieces(path: Column, language: Column, content: Column, size: int, overlap:
             if re.search(r"[^/]\.(?:md|mdx|markdown)$", (p or "").lower()):
                 got = [(s, w) for s, body in markdown_sections(t, base) for w in windows(body, size, overlap)]
             else:
-                got = code_pieces(t, base, lang or "", size) or [(base, w) for w in windows(t, size, overlap)]
+                got = code_pieces(t, base, size) or [(base, w) for w in windows(t, size, overlap)]
             out.append([{"section": s, "content": w} for s, w in got])
         return pd.Series(out)
 
-    return run(path, language, content)
+    return run(path, content)
 
 
 def chunk(documents: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
     """(document_id, chunk_index, section, content, token_estimate, content_hash) of every document."""
-    made = documents.select(F.col("id").alias("document_id"), F.posexplode(pieces(F.col("path"), F.col("language"), F.col("content"), size, overlap)).alias("chunk_index", "piece"))
+    made = documents.select(F.col("id").alias("document_id"), F.posexplode(pieces(F.col("path"), F.col("content"), size, overlap)).alias("chunk_index", "piece"))
     c = F.col("piece.content")
     return made.select("document_id", "chunk_index", F.col("piece.section").alias("section"), c.alias("content"), T.estimate_tokens(c).alias("token_estimate"), T.content_hash(c).alias("content_hash"))
 

@@ -92,7 +92,11 @@ def cited(reply: dict) -> list[dict]:
     raw = reply.get("citations") or [{"evidence_id": i} for i in reply.get("citation_ids") or []]
     out: dict[int, dict] = {}
     for c in raw:
-        out.setdefault(int(c["evidence_id"]), {"evidence_id": int(c["evidence_id"]), "quote": c.get("quote")})
+        try:
+            i = int(c["evidence_id"])
+        except (KeyError, TypeError, ValueError):
+            i = -1  # an unreadable id is known to nobody
+        out.setdefault(i, {"evidence_id": i, "quote": c.get("quote") if isinstance(c, dict) else None})
     return list(out.values())
 
 

@@ -296,7 +296,7 @@ def rebuild(store: Store, ingest, wanted: Fingerprint, now, *, source_key: str |
         store.initialise()
     if chosen and not failed_only and (source_key is None or full):
         store.reset()
-    result = {"rebuilt": [], "failed": []}
+    result = {"rebuilt": [], "failed": [], "errors": {}}
     for m in chosen:
         error, attempts = None, 0
         for attempts in range(1, retry + 2):
@@ -308,6 +308,8 @@ def rebuild(store: Store, ingest, wanted: Fingerprint, now, *, source_key: str |
                 error = str(e)
         store.record_rebuild(m["source_key"], "failed" if error else "success", attempts, now(), error)
         result["failed" if error else "rebuilt"].append(m["source_key"])
+        if error:
+            result["errors"][m["source_key"]] = redact_text_literal(error)
         if error and fail_fast:
             break
     if chosen and not result["failed"] and not failed_only:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata import evaluation
 from lodestrata.functions import redaction as X
 from lodestrata.functions import text as T
 from lodestrata.functions.embedding import KeywordEmbedder
-from lodestrata.operators import chunking, crawl, evidence, fusion, retrieve, store
+from lodestrata.operators import chunking, crawl, evidence, fusion, lookup, retrieve, store
 from lodestrata.session import table
-from lodestrata.sources import files
+from lodestrata.sources import files, webpages
 
 QUERY = "rebuild evidence threshold"
 IDENTIFIER = "sortTranscriptLantern"
@@ -219,9 +221,26 @@ def _(s, d):
     return fusion.search(chunks(s, d), ABSENT, EMBEDDER.embed_query(ABSENT), LIMIT).select("chunk_id", "document_id", "source_key", "path", "section", F.round("score", 9).alias("score"))
 
 
-@register("identifier_guard", f"WITH {_CK} SELECT chunk_id, document_id FROM ck WHERE false")
+# an identifier that stands in the chunks, one that doesn't, and a query that is none
+_GUARDED = ("recordSource", "qzxvkWqkjzXzqv", "evidence threshold")
+
+
+def _guard_sql(query: str) -> str:
+    """Ids of the results, none where an identifier has vector hits only; whether it is one is said by patterns here."""
+    lexical = "(SELECT count(f) + count(l) + count(m) FROM cut)"
+    packed = f"length(regexp_replace(lower('{query}'), '[^a-z0-9]', '', 'g')) >= 8"
+    shape = f"NOT regexp_matches('{query}', '\\s') AND {packed} AND (regexp_matches('{query}', '[0-9_./-]') OR (regexp_matches('{query}', '[a-z]') AND regexp_matches('{query}', '[A-Z]')))"
+    score = f"{_rrf('v')} + {_rrf('f')} + {_rrf('l')} + ({_boost_sql(query)})"
+    return (
+        f"(WITH {_CK}, {_candidates_sql(query, LIMIT, [])} SELECT '{query}' AS query, chunk_id, document_id FROM (SELECT ck.*, round({score}, 12) AS score FROM ck JOIN cut USING (chunk_id)) "
+        f"WHERE NOT ({shape}) OR {lexical} > 0 ORDER BY score DESC, document_id, chunk_id LIMIT {LIMIT})"
+    )
+
+
+@register("identifier_guard", " UNION ALL ".join(f"SELECT * FROM {_guard_sql(q)}" for q in _GUARDED))
 def _(s, d):
-    return fusion.search(chunks(s, d), "qzxvkWqkjzXzqv", VECTOR, LIMIT).select("chunk_id", "document_id")
+    parts = [fusion.search(chunks(s, d), q, EMBEDDER.embed_query(q), LIMIT).select(F.lit(q).alias("query"), "chunk_id", "document_id") for q in _GUARDED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("rrf_fusion", f"WITH {_CK}, {_candidates_sql(QUERY, LIMIT, [])} SELECT chunk_id, v, f, l, m, round({_rrf('v')} + {_rrf('f')} + {_rrf('l')}, 9) AS rrf FROM cut")
@@ -296,16 +315,27 @@ def _(s, d):
     return documents(s, d).select("id", files.language(F.col("path")).alias("detected"))
 
 
+# every third file stands in a skipped folder, every seventh is binary, every eleventh a link, every thirteenth blank
+_SHAPED = (
+    "SELECT id, CASE WHEN id % 3 = 0 THEN (['vendor', 'Node_Modules', 'deep/dist', ' build ', '.git'])[CAST(id % 5 AS INT) + 1] || '/' || path WHEN id % 17 = 0 THEN path || '.PNG' ELSE path END AS path, id % 11 = 0 AS symlink, "
+    "CASE WHEN id % 13 = 0 THEN encode(' ' || chr(9) || chr(12288) || chr(10)) WHEN id % 7 = 0 THEN encode('a' || chr(0) || 'b') || encode(content) WHEN id % 19 = 0 THEN from_hex('FFD8FFE0') ELSE encode(content) END AS body "
+    "FROM (SELECT DISTINCT id, path, content FROM kb_documents)"
+)
+
+
 @register(
     "skip_rules",
-    "SELECT id, CASE WHEN list_has_any(segs, [" + ", ".join(f"'{x}'" for x in files.SKIPPED_FOLDERS) + "]) OR segs[-1] IN (" + ", ".join(f"'{x}'" for x in files.SKIPPED_FILES) + ") OR lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ("
-    + ", ".join(f"'{x}'" for x in files.BINARY) + ") THEN 'ignored' WHEN n > 2000 THEN 'too_large' WHEN trim(regexp_replace(content, '[\\s\\p{Z}]+', '', 'g')) = '' THEN 'empty' END AS reason FROM "
-    "(SELECT DISTINCT id, path, content, strlen(content) AS n, list_transform(string_split(path, '/'), lambda x: lower(trim(x))) AS segs FROM kb_documents)",
+    "SELECT id, CASE WHEN symlink THEN 'symlink' WHEN list_has_any(segs, [" + ", ".join(f"'{x}'" for x in files.SKIPPED_FOLDERS) + "]) OR segs[-1] IN (" + ", ".join(f"'{x}'" for x in files.SKIPPED_FILES) + ") OR lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ("
+    + ", ".join(f"'{x}'" for x in files.BINARY) + f") THEN 'ignored' WHEN octet_length(body) > {files.MOST_BYTES} THEN 'too_large' WHEN binary_like THEN 'binary' WHEN blank THEN 'empty' END AS reason FROM "
+    "(SELECT id, path, symlink, body, list_transform(string_split(path, '/'), lambda x: lower(trim(x))) AS segs, id % 13 <> 0 AND (id % 7 = 0 OR id % 19 = 0) AS binary_like, id % 13 = 0 OR id % 7 <> 0 AND id % 19 <> 0 AND "
+    f"(SELECT bool_and(trim(regexp_replace(k.content, '[\\s\\p{{Z}}]+', '', 'g')) = '') FROM kb_documents k WHERE k.id = t.id) AS blank FROM ({_SHAPED}) t)",
 )
 def _(s, d):
-    rows = documents(s, d).select("id", "path", F.lit(False).alias("symlink"), F.octet_length("content").alias("length"), F.encode("content", "UTF-8").alias("content"))
-    scanned = files.scan(rows.select(F.concat_ws("\u0001", F.col("id").cast("string"), "path").alias("path"), "symlink", F.col("length").cast("long").alias("length"), "content"), 2000)
-    return scanned.select(F.split("path", "\u0001").getItem(0).cast("long").alias("id"), "reason")
+    i, path, content = F.col("id"), F.col("path"), F.col("content")
+    folder = F.element_at(F.array(*map(F.lit, ("vendor", "Node_Modules", "deep/dist", " build ", ".git"))), (i % 5 + 1).cast("int"))
+    body = F.when(i % 13 == 0, F.encode(F.lit(" \t\u3000\n"), "UTF-8")).when(i % 7 == 0, F.encode(F.concat(F.lit("a\u0000b"), content), "UTF-8")).when(i % 19 == 0, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.encode(content, "UTF-8"))
+    rows = documents(s, d).select("id", F.when(i % 3 == 0, F.concat_ws("/", folder, path)).when(i % 17 == 0, F.concat(path, F.lit(".PNG"))).otherwise(path).alias("path"), (i % 11 == 0).alias("symlink"), body.alias("content"))
+    return files.scan(rows.withColumn("length", F.octet_length("content").cast("long"))).select("id", "reason")
 
 
 @register(
@@ -320,6 +350,20 @@ def _(s, d):
     return chunking.chunk(documents(s, d).where("path like '%.txt'").withColumn("language", F.lit("text")), 700, 100).select("document_id", "chunk_index", "content")
 
 
+@register(
+    "markdown_sections",
+    "WITH l AS (SELECT id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM (SELECT DISTINCT id, path, content FROM kb_documents WHERE regexp_matches(lower(path), '[^/]\\.(md|mdx|markdown)$'))), "
+    "h AS (SELECT *, regexp_full_match(rtrim(line, chr(13)), '#{1,6}\\s+.+') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY id ORDER BY n) AS section_no FROM h), "
+    "b AS (SELECT id, any_value(path) AS path, section_no, max(CASE WHEN head THEN regexp_replace(regexp_extract(rtrim(line, chr(13)), '^#{1,6}\\s+(.+)$', 1), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') END) AS named, "
+    "regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS body FROM s GROUP BY id, section_no) "
+    "SELECT id, coalesce(named, string_split(path, '/')[-1]) AS section, length(body) AS n, md5(body) AS digest, count(*) AS times FROM b WHERE body <> '' GROUP BY ALL",
+)
+def _(s, d):
+    rows = documents(s, d).where(chunking.is_markdown(F.col("path")) & F.col("content").isNotNull())
+    made = rows.select("id", F.explode(chunking.sections_of(F.col("path"), F.col("content"))).alias("p")).select("id", "p.section", F.length("p.content").cast("long").alias("n"), F.md5(F.encode("p.content", "UTF-8")).alias("digest"))
+    return made.groupBy("id", "section", "n", "digest").agg(F.count("*").alias("times"))
+
+
 @register("chunk_documents")
 def _(s, d):
     """Sections, declarations and windows of all documents."""
@@ -331,7 +375,14 @@ def _(s, d):
     return chunks(s, d).groupBy("source_key").agg(F.count("*").alias("n"), F.sum(T.estimate_tokens(F.col("content"))).alias("tokens"))
 
 
-@register("stitch_documents")
+_STITCHED = (
+    "WITH RECURSIVE p AS (SELECT document_id, coalesce(content, '') AS c, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, content) AS n, count(*) OVER (PARTITION BY document_id) AS of_n FROM (SELECT DISTINCT document_id, chunk_index, content FROM chunks)), "
+    "r AS (SELECT document_id, c AS text, n, of_n FROM p WHERE n = 1 UNION ALL SELECT r.document_id, CASE WHEN r.text = '' THEN p.c ELSE coalesce(r.text || substr(p.c, (SELECT max(k) FROM range(8, 1 + least(length(r.text), length(p.c))) t(k) WHERE substr(p.c, 1, k) = right(r.text, k)) + 1), "
+    "r.text || chr(10) || chr(10) || p.c) END, p.n, r.of_n FROM r JOIN p ON p.document_id = r.document_id AND p.n = r.n + 1) SELECT document_id, text AS content FROM r WHERE n = of_n"
+)
+
+
+@register("stitch_documents", _STITCHED)
 def _(s, d):
     return chunking.stitch(table(s, d, "chunks").select("document_id", "chunk_index", "content"))
 
@@ -398,15 +449,23 @@ def _(s, d):
     return n.crossJoin(c).crossJoin(m)  # one row each
 
 
+_STATES = [("none", False, 0, None), ("failed", True, 2, "same"), ("failed_and_other", True, 1, "other"), ("missing", True, 0, None), ("changed", True, 0, "other"), ("current", True, 0, "same")]
+
+
 @register(
     "index_state",
-    "SELECT count(*) FILTER (WHERE last_rebuild_status = 'failed') > 0 AS needs_rebuild, false AS full_rebuild, CASE WHEN count(*) FILTER (WHERE last_rebuild_status = 'failed') > 0 THEN 'one or more source rebuilds failed' END AS reason FROM source_manifests",
+    "WITH c AS (SELECT * FROM (VALUES ('none', false, 0, NULL), ('failed', true, 2, 'same'), ('failed_and_other', true, 1, 'other'), ('missing', true, 0, NULL), ('changed', true, 0, 'other'), ('current', true, 0, 'same')) v(state, has_tables, failed, stored) "
+    "UNION ALL SELECT 'stored', true, count(*) FILTER (WHERE last_rebuild_status = 'failed')::INT, 'same' FROM source_manifests) "
+    "SELECT state, NOT has_tables OR failed > 0 OR stored IS DISTINCT FROM 'same' AS needs_rebuild, NOT has_tables OR stored IS DISTINCT FROM 'same' AS full_rebuild, "
+    "CASE WHEN NOT has_tables THEN 'index bootstrap required' WHEN failed > 0 THEN 'one or more source rebuilds failed' WHEN stored IS NULL THEN 'embedding fingerprint missing' WHEN stored <> 'same' THEN 'embedding fingerprint changed' END AS reason FROM c",
 )
 def _(s, d):
+    """All branches, and the state of the stored manifests."""
     failed = table(s, d, "source_manifests").where("last_rebuild_status = 'failed'").count()
-    f = EMBEDDER.fingerprint().json()
-    got = store.index_state(True, failed, f, f)
-    return s.createDataFrame([(got["needs_rebuild"], got["full"], got["reason"])], "needs_rebuild boolean, full_rebuild boolean, reason string")
+    wanted = EMBEDDER.fingerprint().json()
+    prints = {"same": wanted, "other": wanted | {"dimensions": 1}, None: None}
+    got = [(name, store.index_state(has, n, prints[p], wanted)) for name, has, n, p in [*_STATES, ("stored", True, failed, "same")]]
+    return s.createDataFrame([(n, g["needs_rebuild"], g["full"], g["reason"]) for n, g in got], "state string, needs_rebuild boolean, full_rebuild boolean, reason string")
 
 
 @register("ingest_summary", "SELECT stage, reason, count(*) AS n, sum(attempts)::BIGINT AS attempts FROM web_page_failures GROUP BY stage, reason")
@@ -430,7 +489,25 @@ def _(s, d):
 # --- redaction, URLs, crawl -----------------------------------------------------------------------
 
 
-@register("redact_locators")
+def _redacted_sql(url: str, fragment: bool) -> str:
+    """Without re-encoding: values of the tables' parameters hold no escapes."""
+    head = f"lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+    authority = f"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    host = f"regexp_replace({authority}, '^.*@', '')"
+    hosted = f"CASE WHEN {head} IN ('http', 'https', 'ftp', 'ws', 'wss') THEN lower({host}) ELSE {host} END"
+    path = f"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    pathed = f"CASE WHEN {path} = '' AND {head} IN ('http', 'https', 'ftp', 'ws', 'wss') THEN '/' ELSE {path} END"
+    names = "|".join(X.SENSITIVE)
+    query = f"regexp_extract({url}, '^[^?#]*[?]([^#]*)', 1)"
+    safe = f"regexp_replace({query}, '(^|&)({names})=[^&]+', '\\1\\2=[REDACTED]', 'gi')"
+    part = f"regexp_extract({url}, '#(.*)$', 1)"
+    shown = f"CASE WHEN {part} = '' THEN '' WHEN regexp_matches({part}, '[=&]') THEN '#' || regexp_replace({part}, '=[^&]+', '=[REDACTED]', 'g') ELSE '#[REDACTED]' END" if fragment else "''"
+    return (
+        f"CASE WHEN regexp_matches({url}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {head} || '://' || CASE WHEN regexp_matches({authority}, '.@') THEN '[REDACTED]@' ELSE '' END || {hosted} || {pathed} || CASE WHEN {query} = '' THEN '' ELSE '?' || {safe} END || {shown} ELSE {url} END"
+    )
+
+
+@register("redact_locators", f"SELECT DISTINCT id, {_redacted_sql('source_locator', True)} AS locator, {_redacted_sql('source_locator', False)} AS identity FROM kb_documents")
 def _(s, d):
     return documents(s, d).select("id", X.redact_urls(F.col("source_locator")).alias("locator"), X.page_identity(F.col("source_locator")).alias("identity"))
 
@@ -477,7 +554,12 @@ def _(s, d):
     return crawl.breadth_first(e.select("src", "dst", F.col("position").cast("long").alias("position")), roots, 5).select("page", "depth")
 
 
-@register("crawl_links")
+@register(
+    "crawl_links",
+    f"WITH RECURSIVE p AS (SELECT page_id, any_value(final_url) AS u, any_value(links) AS links FROM web_fetched_pages GROUP BY page_id), l AS (SELECT u, unnest(links) AS link FROM p WHERE links IS NOT NULL), "
+    f"e AS (SELECT DISTINCT {_redacted_sql('u', False)} AS src, {_redacted_sql('link', False)} AS dst FROM l), o AS (SELECT min(u) AS u FROM p GROUP BY lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1))), "
+    f"r AS (SELECT DISTINCT {_redacted_sql('u', False)} AS page, 0 AS depth FROM o UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.page WHERE r.depth < 2) SELECT page, CAST(min(depth) AS INT) AS depth FROM r GROUP BY page",
+)
 def _(s, d):
     """Pages reached through the links of the fetched pages, starting at each site's first page."""
     pages = table(s, d, "web_fetched_pages").dropDuplicates(["page_id"])
@@ -487,6 +569,180 @@ def _(s, d):
     return crawl.breadth_first(edges, roots, 3).select("page", "depth")
 
 
+# --- crawlers' replies ----------------------------------------------------------------------------
+
+_NORMAL_SQL = "lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || CASE WHEN regexp_matches({u}, '^[^/]*//[^/?#]*/') THEN '' ELSE '/' END || regexp_replace(regexp_replace({u}, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '')"
+_PAGES_SQL = "SELECT page_id, any_value(requested_url) AS asked, any_value(final_url) AS final_url, any_value(title) AS title, any_value(markdown) AS markdown, any_value(links) AS links FROM web_fetched_pages GROUP BY page_id"
+
+
+@register(
+    "page_fields",
+    f"WITH p AS (SELECT *, CASE WHEN page_id % 3 = 2 THEN asked ELSE final_url END AS u FROM ({_PAGES_SQL})) SELECT page_id, {_NORMAL_SQL.format(u='u')} AS url, coalesce(nullif(trim(title), ''), u) AS title, "
+    "CASE WHEN page_id % 5 = 4 THEN '' ELSE coalesce(markdown, '') END AS markdown, array_to_string(list_transform(list_filter(coalesce(links, []), lambda x: regexp_matches(x, '^https?://[^/]')), lambda x: regexp_replace(x, '#.*$', '')), ' ') AS links FROM p",
+)
+def _(s, d):
+    """Records in the shapes that crawlers give, made of the fetched pages, and parsed."""
+    p = table(s, d, "web_fetched_pages").dropDuplicates(["page_id"])
+    i, m = F.col("page_id"), F.col("markdown")
+    part = lambda *cs: F.regexp_replace(F.regexp_replace(F.to_json(F.struct(*cs)), r"^\{", ""), r"\}$", "")
+    text = F.when(i % 5 == 0, part(m)).when(i % 5 == 1, part(F.struct(m.alias("raw_markdown")).alias("markdown"))).when(i % 5 == 2, part(F.struct(m.alias("fit_markdown")).alias("markdown"))).when(i % 5 == 3, part(m.alias("raw_markdown")))
+    url, title = F.col("final_url"), F.col("title")
+    about = F.struct(F.when(i % 3 == 1, url).alias("url"), F.when(i % 2 == 0, title).alias("title"))
+    place = F.when(i % 3 == 0, part(url.alias("url"), F.when(i % 2 == 1, title).alias("title"), about.alias("metadata"))).otherwise(part(F.when(i % 2 == 1, title).alias("title"), about.alias("metadata")))
+    links = F.coalesce("links", F.array().cast("array<string>"))
+    given = F.when(i % 2 == 0, part(F.struct(F.transform(links, lambda x: F.struct(x.alias("href"))).alias("internal")).alias("links"))).otherwise(part(F.struct(links.alias("external")).alias("links")))
+    record = F.concat(F.lit("{"), F.array_join(F.filter(F.array(text, place, given), lambda x: x != ""), ","), F.lit("}"))
+    rows = p.select("page_id", F.col("requested_url").alias("asked"), record.alias("record"))
+    got = webpages.page_fields(rows.select(F.concat_ws(" ", F.col("page_id").cast("string"), "asked").alias("asked"), "record")).select("asked", "title", "markdown", "links", "url")
+    number = F.split("asked", " ").getItem(0)
+    bare = lambda c: F.regexp_replace(c, r"^\d+ ", "")
+    return got.select(number.cast("long").alias("page_id"), webpages.normal_url(bare(F.col("url"))).alias("url"), bare(F.col("title")).alias("title"), "markdown", F.array_join("links", " ").alias("links"))
+
+
+_STATUSES = ("disallowed", "skipped", "cancelled", "errored", "strange", None)
+
+
+@register(
+    "record_failures",
+    "WITH p AS (SELECT DISTINCT page_id, (['disallowed', 'skipped', 'cancelled', 'errored', 'strange', NULL])[CAST(page_id % 6 AS INT) + 1] AS status, CASE WHEN page_id % 4 = 0 THEN 500 + CAST(page_id % 7 AS INT) END AS http FROM web_fetched_pages) "
+    "SELECT page_id, coalesce(status, 'errored') AS reason, CASE coalesce(status, 'errored') WHEN 'disallowed' THEN 'crawl record disallowed by robots.txt' WHEN 'skipped' THEN 'crawl record skipped by crawl filters' WHEN 'cancelled' THEN 'crawl record cancelled' "
+    "WHEN 'errored' THEN 'crawl record errored' || CASE WHEN http IS NOT NULL THEN ' (http ' || http || ')' ELSE '' END ELSE 'crawl record status=' || status END AS error FROM p",
+)
+def _(s, d):
+    i = F.col("page_id")
+    rows = table(s, d, "web_fetched_pages").select("page_id").distinct()
+    status = F.element_at(F.array(*map(F.lit, _STATUSES)), (i % 6 + 1).cast("int"))
+    reason, error = webpages.record_failure(status, F.when(i % 4 == 0, (500 + i % 7).cast("int")))
+    return rows.select("page_id", reason.alias("reason"), error.alias("error"))
+
+
+@register(
+    "fetch_modes",
+    "WITH p AS (SELECT DISTINCT page_id, length(coalesce(markdown, '')) AS n FROM web_fetched_pages), a AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 0 ELSE n END AS g, CASE WHEN page_id % 3 = 0 THEN 0 ELSE n // 2 END AS f FROM p) "
+    "SELECT page_id, CASE WHEN g >= 200 THEN 'get' WHEN f >= 1 THEN 'fetch' ELSE 'get' END AS mode, CASE WHEN g >= 200 THEN g WHEN f >= 1 THEN f WHEN g >= 1 THEN g END AS n FROM a",
+)
+def _(s, d):
+    p = table(s, d, "web_fetched_pages").dropDuplicates(["page_id"]).select(F.col("page_id").alias("url"), F.coalesce("markdown", F.lit("")).alias("m"))
+    got = p.select("url", F.lit("get").alias("mode"), F.when(F.col("url") % 4 != 0, F.col("m")).alias("markdown"), F.lit("none").alias("error"))
+    fetched = p.select("url", F.lit("fetch").alias("mode"), F.when(F.col("url") % 3 != 0, F.expr("substring(m, 1, length(m) div 2)")).alias("markdown"), F.lit("none").alias("error"))
+    return webpages.choose_attempt(got.unionByName(fetched)).select(F.col("url").alias("page_id"), "mode", F.length("markdown").cast("long").alias("n"))
+
+
+@register(
+    "first_seen_pages",
+    f"SELECT url, page_id FROM (SELECT {_NORMAL_SQL.format(u='final_url')} AS url, min(page_id) AS page_id FROM ({_PAGES_SQL}) GROUP BY ALL) ORDER BY page_id LIMIT 100",
+)
+def _(s, d):
+    rows = table(s, d, "web_fetched_pages").select("page_id", webpages.normal_url(F.col("final_url")).alias("url")).distinct()
+    return webpages.first_seen(rows, "url", "page_id", 100).select("url", "page_id")
+
+
+@register(
+    "crawl_site",
+    f"WITH RECURSIVE p AS ({_PAGES_SQL}), u AS (SELECT {_NORMAL_SQL.format(u='final_url')} AS url, min(page_id) AS page_id FROM p GROUP BY ALL), root AS (SELECT min(url) AS url FROM u WHERE starts_with(url, '{{site}}')), "
+    f"e AS (SELECT DISTINCT {_NORMAL_SQL.format(u='final_url')} AS src, {_NORMAL_SQL.format(u='link')} AS dst FROM (SELECT final_url, unnest(links) AS link FROM p)), "
+    "r AS (SELECT url, 0 AS depth FROM root UNION SELECT e.dst, r.depth + 1 FROM r JOIN u ON u.url = r.url JOIN e ON e.src = r.url WHERE r.depth < 2 AND starts_with(e.dst, '{site}')) SELECT r.url, CAST(min(depth) AS INT) AS depth, bool_or(u.url IS NOT NULL) AS fetched FROM r LEFT JOIN u USING (url) GROUP BY r.url".replace("{site}", "https://handbook.mistlewick.example/"),
+)
+def _(s, d):
+    """The crawl of a site over its recorded pages: what is reached, and whether there is a page."""
+    site = "https://handbook.mistlewick.example/"
+    rows = table(s, d, "web_fetched_pages").dropDuplicates(["page_id"]).where(F.col("final_url").startswith(site))
+    named = rows.select(webpages.normal_url(F.col("final_url")).alias("url"), "links", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    # a site's recorded pages are the fixture of the page source
+    records: dict[str, dict] = {}
+    for r in named.collect():
+        known = records.setdefault(r["url"], {"url": r["url"], "markdown": "x", "links": {"internal": []}})
+        known["links"]["internal"] += r["links"] or []
+    if not records:
+        return s.createDataFrame([], "url string, depth int, fetched boolean")
+    pages, failures = crawl.crawl(s, min(records), webpages.RecordedPages(records), max_pages=100_000, max_depth=3, mode="get", retries=0, scope=site)
+    return pages.select("url", "depth", F.lit(True).alias("fetched")).unionByName(failures.select("url", "depth", F.lit(False).alias("fetched")))
+
+
+# --- the stored index -----------------------------------------------------------------------------
+
+_LAST = "d AS (SELECT DISTINCT id, source_key, source_kind, path FROM kb_documents QUALIFY id = max(id) OVER (PARTITION BY source_key, path))"
+
+
+def stored(s: SparkSession, d: str) -> store.Store:
+    """A store of the last document of each path, with the chunks as they are."""
+    from lodestrata.session import checkpoint_dir
+
+    at = store.Store(s, f"{checkpoint_dir(s)}/index-{uuid.uuid4().hex}")
+    docs = documents(s, d)
+    last = docs.groupBy("source_key", "path").agg(F.max("id").alias("id")).select("id")
+    kept = docs.join(last, "id", "left_semi").select([c.split()[0] for c in store.DOCUMENTS.split(", ")])
+    c = table(s, d, "chunks").dropDuplicates(["id"]).join(kept.select(F.col("id").alias("document_id"), "source_key"), "document_id").withColumn("embedding", EMBEDDER.embed(F.col("content")))
+    at.replace_sources(kept.select("source_key"), kept, c, "2026-01-01")
+    return at
+
+
+@register("search_stored", _search_sql(QUERY, LIMIT, []).replace(_D, _LAST))
+def _(s, d):
+    """Hybrid search over stored chunks, postings and lengths."""
+    return stored(s, d).search(QUERY, VECTOR, LIMIT).select("chunk_id", "document_id", "source_key", "path", "section", F.round("score", 9).alias("score"))
+
+
+@register("search_stored_ext", _search_sql(QUERY, LIMIT, [".md", ".go"]).replace(_D, _LAST))
+def _(s, d):
+    return stored(s, d).search(QUERY, VECTOR, LIMIT, ["md", ".GO"]).select("chunk_id", "document_id", "source_key", "path", "section", F.round("score", 9).alias("score"))
+
+
+@register(
+    "store_replaced",
+    f"WITH {_LAST}, k AS (SELECT min(source_key) AS a, max(source_key) AS b FROM d) SELECT source_key, count(*) AS documents FROM d, k WHERE source_key <> b AND (source_key <> a OR id % 2 = 0) GROUP BY source_key",
+)
+def _(s, d):
+    """One source replaced by half of its documents and one removed, in the store."""
+    at = stored(s, d)
+    ends = at.documents.agg(F.min("source_key").alias("a"), F.max("source_key").alias("b")).first()
+    if ends["a"] is None:
+        return at.documents.groupBy("source_key").agg(F.count("*").alias("documents"))
+    half = at.documents.where((F.col("source_key") == ends["a"]) & (F.col("id") % 2 == 0))
+    at.replace_source(ends["a"], half, at.chunks, "2026-01-02")
+    at.delete_source(ends["b"])
+    at.vacuum()
+    return at.documents.groupBy("source_key").agg(F.count("*").alias("documents"))
+
+
+@register(
+    "doctor",
+    "SELECT 'missing' AS at, 'missing' AS status, 'index bootstrap required' AS reason UNION ALL SELECT 'empty', 'degraded', 'embedding fingerprint missing' UNION ALL SELECT 'full', CASE WHEN n > 0 THEN 'degraded' ELSE 'ok' END, CASE WHEN n > 0 THEN 'one or more source rebuilds failed' END FROM "
+    "(SELECT count(*) FILTER (WHERE last_rebuild_status = 'failed') AS n FROM source_manifests) UNION ALL SELECT 'healthy', 'ok', NULL",
+)
+def _(s, d):
+    """The health of an index without tables, without a fingerprint, with the given manifests, and without failed ones."""
+    from lodestrata.session import checkpoint_dir
+
+    at = store.Store(s, f"{checkpoint_dir(s)}/index-{uuid.uuid4().hex}")
+    wanted, got = EMBEDDER.fingerprint(), []
+    got.append(("missing", at.doctor(wanted)))
+    at.initialise()
+    got.append(("empty", at.doctor(wanted)))
+    at.set_fingerprint(wanted)
+    manifests = table(s, d, "source_manifests").select([c.split()[0] for c in store.MANIFESTS.split(", ")])
+    at._change_manifests(lambda known: known.unionByName(manifests))
+    got.append(("full", at.doctor(wanted)))
+    at._change_manifests(lambda known: known.where("last_rebuild_status <> 'failed'"))
+    got.append(("healthy", at.doctor(wanted)))
+    return s.createDataFrame([(n, g["status"], g["reason"]) for n, g in got], "at string, status string, reason string")
+
+
+@register("lookup_path", "SELECT DISTINCT id, source_key FROM kb_documents WHERE path = (SELECT min(path) FROM kb_documents WHERE NOT contains(path, '://'))")
+def _(s, d):
+    """A path as it is typed, with a leading dot and backslashes."""
+    docs = documents(s, d)
+    typed = docs.where(~F.contains("path", F.lit("://"))).agg(F.min("path")).first()[0] or ""
+    return lookup.by_path(docs, ".\\" + typed.replace("/", "\\")).select("id", "source_key")
+
+
+@register("eval_metrics", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{str(v).lower() if isinstance(v, bool) else v}')" for k, v in evaluation.BASELINE.items()) + ") v(metric, value)")
+def _(s, d):
+    """The offline evaluation's counts, against the published ones."""
+    metrics, _spent = evaluation.measure(evaluation.chunks(s), len(evaluation.FILES))
+    return s.createDataFrame([(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in metrics.items()], "metric string, value string")
+
+
 # --- evidence -------------------------------------------------------------------------------------
 
 _RESULTS = f"WITH {_CK}, a AS (SELECT chunk_id, document_id, path, section, round(1.0::DOUBLE / (60 + chunk_id % 7), 9) AS score, chunk_id AS arrival, content FROM ck UNION ALL SELECT chunk_id, document_id, path, section, round(1.0::DOUBLE / (60 + chunk_id % 5), 9), chunk_id + 1000000000, content FROM ck)"

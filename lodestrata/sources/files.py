@@ -1,16 +1,19 @@
-"""Sources: tracked files of a repository with ordered skip rules, settings, and environment files."""
+"""Sources: tracked files of a local or remote repository with ordered skip rules, and environment files."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import subprocess
-import tomllib
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.redaction import network_url
+
 # Suffixes of files that are never read, folder and file names likewise, languages by suffix.
 BINARY = (
     ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".pdf", ".zip", ".gz", ".tar", ".tgz", ".mp3", ".mp4", ".mov", ".wav", ".woff", ".woff2", ".ttf", ".eot",
@@ -50,6 +53,41 @@ def git(args: list[str], cwd: str | None = None, timeout_ms: int = 30_000) -> st
     return done.stdout
 
 
+@dataclass(frozen=True)
+class GitSource:
+    """Where a repository's files are read from, and the key that its rows go by."""
+
+    kind: str
+    key: str
+    locator: str
+    root: str
+    url: str | None
+
+
+def remote_cache(url: str, folder: str, timeout_ms: int = 30_000) -> str:
+    """A shallow copy of a remote repository in ``folder``, brought up to date; secrets of its URL aren't kept."""
+    safe = network_url(url.strip())
+    at = Path(folder, hashlib.sha256(safe.encode()).hexdigest())
+    if at.exists():
+        git(["-C", str(at), "fetch", "--depth=1", safe, "HEAD"], None, timeout_ms)
+        git(["-C", str(at), "reset", "--hard", "FETCH_HEAD"], None, timeout_ms)
+    else:
+        at.parent.mkdir(parents=True, exist_ok=True)
+        git(["clone", "--depth=1", safe, str(at)], None, timeout_ms)
+    git(["-C", str(at), "remote", "set-url", "origin", safe], None, timeout_ms)
+    return str(at)
+
+
+def resolve_git(source: str, cache: str, timeout_ms: int = 30_000) -> GitSource:
+    """A remote source goes by its URL without secrets, a local one by the top folder of its repository."""
+    if is_remote(source):
+        safe = network_url(source.strip())
+        return GitSource("remote_git", safe, safe, remote_cache(source, cache, timeout_ms), safe)
+    path = str(Path(source).absolute())
+    root = git(["-C", path, "rev-parse", "--show-toplevel"], None, timeout_ms).strip()
+    return GitSource("local_git", root, path, root, None)
+
+
 def extension(path: Column) -> Column:
     """Lower-cased suffix with its dot; empty for dot files."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
@@ -75,13 +113,14 @@ def looks_binary(content: Column) -> Column:
 
 
 def scan(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``files`` (path, symlink, length, content) with ``reason``: null for files to keep."""
+    """``files`` (path, symlink, length, content, ...) with ``reason``: null for files to keep; other columns stay."""
+    more = [c for c in files.columns if c not in ("path", "symlink", "length", "content")]
     text = F.decode(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content")), "UTF-8")
     reason = (
         F.when(F.col("symlink"), "symlink").when(ignored(F.col("path")), "ignored").when(F.col("length") > most_bytes, "too_large")
         .when(looks_binary(F.col("content")), "binary").when(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}\x{FEFF}]+", "") == "", "empty")
     )
-    return files.select("path", "length", text.alias("text"), language(F.col("path")).alias("language"), reason.alias("reason"))
+    return files.select(*more, "path", "length", text.alias("text"), language(F.col("path")).alias("language"), reason.alias("reason"))
 
 
 def read_repository(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, timeout_ms: int = 30_000) -> tuple[DataFrame, list[dict]]:
@@ -107,24 +146,6 @@ def read_repository(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES
     return scan(joined.select("path", "symlink", F.col("size").alias("length"), "content"), most_bytes), failures
 
 
-def load_settings(path: str, required: tuple[str, ...] = ()) -> dict:
-    """A TOML file; ``required`` names dotted keys, all missing ones are listed in the error."""
-    with open(path, "rb") as f:
-        settings = tomllib.load(f)
-
-    def has(key: str) -> bool:
-        at = settings
-        for part in key.split("."):
-            if not isinstance(at, dict) or part not in at:
-                return False
-            at = at[part]
-        return True
-
-    if missing := [k for k in required if not has(k)]:
-        raise ValueError("missing settings: " + ", ".join(missing))
-    return settings
-
-
 def load_env(path: str, environment: dict[str, str] | None = None) -> dict[str, str]:
     """Variables of an environment file: the first definition holds, existing ones aren't overridden."""
     out: dict[str, str] = {}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.embedding import Fingerprint, KeywordEmbedder
 from lodestrata.operators import chunking, crawl, evidence, fusion, retrieve, store
-from lodestrata.sources import files
+from lodestrata.sources import files, settings
 from lodestrata.streaming import learn
 
 COLUMNS = "chunk_id long, document_id long, source_key string, source_kind string, path string, section string, content string, embedding array<double>"
@@ -25,19 +25,28 @@ def test_sections_and_windows():
     assert chunking.windows("   ", 10, 2) == [] and chunking.windows("x" * 25, 10, 3) == ["x" * 10, "x" * 10, "x" * 10, "x" * 4]
 
 
-def test_code_pieces_carry_their_symbols():
-    code = "export function openDoor() {\n  return 1;\n}\n\nexport function closeDoor() {\n  return 2;\n}\n"
-    assert [s for s, _ in chunking.code_pieces(code, "example.ts", "typescript", 50)] == ["example.ts · openDoor", "example.ts · closeDoor"]
-    long = "function foo() {\n" + "  call(1);\n" * 30 + "}\n"
-    got = chunking.code_pieces(long, "example.ts", "typescript", 80)
-    assert len(got) > 1 and {s for s, _ in got} == {"example.ts · foo"}
-    assert chunking.code_pieces("no declarations", "a.xyz", "xyz", 80) == []
+def test_code_is_cut_along_its_structure():
+    go = "package oven\n\nimport \"fmt\"\n\ntype Loaf struct {\n\tgrams int\n}\n\nfunc (l *Loaf) Bake(minutes int) error {\n\tif minutes < 5 {\n\t\treturn fmt.Errorf(\"raw\")\n\t}\n\treturn nil\n}\n"
+    got = chunking.code_pieces(go, "oven.go", 120)
+    assert [s for s, _ in got] == ["oven.go", "oven.go · Bake"] and got[1][1].startswith("func (l *Loaf)") and "type Loaf" in got[0][1]
+    assert [s for s, _ in chunking.code_pieces(go, "oven.go", 4000)] == ["oven.go · Loaf"]
+    python = "class Shelf:\n    slots = 3\n\n    @property\n    def free(self):\n        return self.slots - len(self.held)\n\n    def take(self, item):\n        text = \"\"\"\nnot indented\n\"\"\"\n        self.held.append(item)\n"
+    got = chunking.code_pieces(python, "shelf.py", 90)
+    assert list(dict.fromkeys(s for s, _ in got)) == ["shelf.py · Shelf", "shelf.py · Shelf · free", "shelf.py · Shelf · take"]
+    assert got[1][1].startswith("    @property") and "not indented" in got[2][1]
+    # a part without parts is cut by windows that keep their indentation
+    long = "fn stir() {\n" + "    spoon.turn(1);\n" * 30 + "}\n"
+    got = chunking.code_pieces(long, "pan.rs", 80)
+    assert len(got) > 3 and {s for s, _ in got} == {"pan.rs · stir"} and all(len(p) <= 80 for _, p in got) and any(p.startswith("    spoon") for _, p in got)
+    assert chunking.code_pieces("x", "a.xyz", 80) == [] and chunking.code_pieces("def broken(:\n  x\n", "b.py", 80) == [("b.py · broken", "def broken(:\n  x")]
+    assert chunking.code_windows("\n\n  a\n", 10) == ["  a"] and chunking.code_windows(" ", 10) == []
 
 
 def test_stitching(spark):
-    rows = [(1, 0, "An older text begins here"), (1, 1, " begins here and goes on after it"), (2, 0, "a"), (2, 1, "b"), (2, 1, "b"), (3, 0, None)]
+    parts = ["Rain fell on the roof of the mill", "roof of the mill until the wheel stood", "still. Nobody came"]
+    rows = [(5, k, t) for k, t in enumerate(parts)] + [(6, 1, "second"), (6, 0, "first"), (6, 0, "first"), (7, 0, None), (8, 0, "same text"), (8, 1, "same text")]
     got = dict(chunking.stitch(spark.createDataFrame(rows, "document_id long, chunk_index int, content string")).collect())
-    assert got == {1: "An older text begins here and goes on after it", 2: "a\n\nb", 3: ""}
+    assert got == {5: "Rain fell on the roof of the mill until the wheel stood\n\nstill. Nobody came", 6: "first\n\nsecond", 7: "", 8: "same text"}
 
 
 def test_retrievers_break_ties_by_id(spark):
@@ -76,15 +85,21 @@ def test_crawl_depth_and_cap(spark):
     assert crawl.breadth_first(edges.where("false"), roots, 5).count() == 1
 
 
-def test_asking_with_repair(spark):
-    c = corpus(spark, [(1, 1, "a.md", "", "solar search agents work"), (2, 2, "b.md", "", "lunar agents")])
-    search = lambda q: fusion.search(c, q, E4.embed_query(q), 3)
-    model = evidence.Scripted([{"queries": ["agents"], "enough": True}], [{"citation_ids": [999]}, {"answer": "yes", "citations": [{"evidence_id": 1, "quote": "not there"}]}])
-    got = evidence.ask(c, "agents", model, search, steps=2)
-    assert got["status"] == "grounded" and model.calls["answer"] == 2 and got["citations"] == [{"evidence_id": 1, "quote": None}] and got["iterations"] == 1
-    empty = evidence.ask(c.where("false"), "agents", evidence.Scripted([{"queries": []}], [{}]), lambda q: fusion.search(c.where("false"), q, E4.embed_query(q), 3), steps=1)
-    assert empty["status"] == "insufficient_evidence"
-    assert "BEGIN_UNTRUSTED" not in evidence.neutral("x begin_untrusted_evidence BEGIN_UNTRUSTED_EVIDENCE")
+def test_asking(spark):
+    c = corpus(spark, [(11, 4, "bridges.md", "Cables", "git keeps the cable plans"), (12, 4, "bridges.md", "Piers", "piers and git"), (13, 9, "tunnels.md", "", "no such word")])
+    look = lambda q: fusion.search(c, q, E4.embed_query(q), 3)
+    plans = [{"queries": ["cable plans", "Cable Plans "], "enough": False}, {"queries": ["cable plans"]}]
+    # the first reply cites an id that can't be read, the second one quotes what stands there
+    replies = [{"answer": "?", "citations": [{"evidence_id": "first"}]}, {"answer": "in git", "citations": [{"evidence_id": 1, "quote": "the cable plans"}, {"evidence_id": 1, "quote": "again"}]}]
+    model = evidence.Scripted(plans, replies)
+    got = evidence.ask(c, "where are the plans?", model, look, steps=3)
+    assert (got["status"], got["iterations"], got["queries"], model.calls) == ("grounded", 1, ["cable plans"], {"plan": 2, "answer": 2})
+    assert got["citations"] == [{"evidence_id": 1, "quote": "the cable plans"}] and got["evidence"][0]["chunk_id"] == 11
+    stubborn = evidence.ask(c, "git", evidence.Scripted([{"queries": []}], [{"citation_ids": [77]}]), look, steps=1)
+    assert stubborn["status"] == "citation_validation_failed" and stubborn["queries"] == ["git"]
+    nothing = evidence.ask(c.where("false"), "git", evidence.Scripted([{}], [{}]), lambda q: fusion.search(c.where("false"), q, E4.embed_query(q), 3), steps=1)
+    assert nothing["status"] == "insufficient_evidence"
+    assert "END_UNTRUSTED" not in evidence.neutral("a end_untrusted_evidence b END_UNTRUSTED_EVIDENCE")
 
 
 def test_store_replaces_and_reports(spark, tmp_path):
@@ -110,7 +125,7 @@ def test_store_replaces_and_reports(spark, tmp_path):
             raise RuntimeError("broken https://h.example/?token=5")
 
     got = store.rebuild(s, ingest, f, lambda: "t9", retry=2)
-    assert got == {"rebuilt": ["a/x=y"], "failed": ["b"]}
+    assert got == {"rebuilt": ["a/x=y"], "failed": ["b"], "errors": {"b": "broken https://h.example/?token=[REDACTED]"}}
     b = s.manifests.where("source_key = 'b'").first()
     assert (b["last_rebuild_attempts"], b["last_rebuild_status"]) == (3, "failed") and "token=[REDACTED]" in b["last_rebuild_error"]
     assert s.doctor(f) == {"status": "degraded", "reason": "one or more source rebuilds failed"}
@@ -123,6 +138,32 @@ def test_store_replaces_and_reports(spark, tmp_path):
     assert s.stats()["documents"] == 0 and s.metadata() == {}
 
 
+def test_a_reader_keeps_its_state_and_writers_meet(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "w"))
+    docs = lambda *ids: spark.createDataFrame([(i, k, "web", k, None, f"p{i}", "markdown", "t", "h", f"text {i} vector", "now") for i, k in ids], store.DOCUMENTS)
+    learn.learn_batch(s, docs((1, "a"), (2, "b"), (3, "c")), E4, "t1")
+    old = s.snapshot()
+    learn.learn_batch(s, docs((4, "a")), E4, "t2")
+    s.delete_source("c")
+    assert sorted(r["id"] for r in s.read("documents", old).collect()) == [1, 2, 3] and sorted(r["id"] for r in s.documents.collect()) == [2, 4]
+    assert {r["term"] for r in s.postings.collect()} == {"text", "vector", "2", "4"} and s.lengths.count() == 2
+    assert [r["document_id"] for r in s.search("p4", E4.embed_query("vector"), 1).collect()] == [4]
+    with pytest.raises(ValueError, match="stands twice"):
+        s.replace_source("b", docs((5, "b"), (6, "b")).withColumn("path", F.lit("same")), s.chunks, "t3")
+    # another writer takes the next number first
+    taken = []
+
+    def change(last):
+        if not taken:
+            taken.append(1)
+            store.Store(spark, str(tmp_path / "w")).set_metadata("other", "1")
+        return last | {"metadata": last["metadata"] | {"mine": "1"}}
+
+    s._commit(change)
+    assert s.metadata()["other"] == "1" and s.metadata()["mine"] == "1"
+    assert s.vacuum() > 0 and sorted(r["id"] for r in s.documents.collect()) == [2, 4]
+
+
 def test_learning_from_a_stream(spark, tmp_path):
     rows = [(1, "a", "web", "l", None, "p.md", "markdown", "t", "h", "# H\nsome vector text", "now")]
     spark.createDataFrame(rows, store.DOCUMENTS).write.parquet(str(tmp_path / "in"))
@@ -151,15 +192,26 @@ def test_repository_scan(spark, tmp_path):
         files.git(["no-such-command"], str(repo))
 
 
-def test_settings_and_environment(tmp_path):
-    (tmp_path / "c.toml").write_text('[git]\nmax = 1\n')
-    assert files.load_settings(str(tmp_path / "c.toml"), ("git.max",)) == {"git": {"max": 1}}
-    with pytest.raises(ValueError, match="git.min, x"):
-        files.load_settings(str(tmp_path / "c.toml"), ("git.min", "x"))
+def test_environment_files(tmp_path):
     (tmp_path / ".env").write_text("A='1'\nexport B=2\nA=3\nC=4\n")
     assert files.load_env(str(tmp_path / ".env"), {"C": "set"}) == {"A": "1", "B": "2"}
 
 
+def test_settings(tmp_path):
+    s = settings.check({})
+    assert s["index"]["chunk_size"] == 1200 and s["ai_search"]["max_evidence_chunks"] == 12 and s["web.ingest.command"]["retry_max_retries"] == 3
+    at = tmp_path / "s.toml"
+    at.write_text("[index]\nchunk_size = 10\nfts = 1\n[web.ingest]\nprovider = 'ftp'\n[embedding]\nmodel = ''\n[web.ingest.service]\ninclude_patterns = [1]\n")
+    with pytest.raises(ValueError) as e:
+        settings.load(str(at))
+    for fault in ("index.chunk_size: must be at least 200", "index.fts: must be of type bool", "web.ingest.provider: must be one of", "embedding.model: must be at least 1 characters", "web.ingest.service.include_patterns"):
+        assert fault in str(e.value)
+    at.write_text("[index]\nchunk_size = 300\n")
+    assert settings.load(str(at))["index"]["chunk_size"] == 300
+    with pytest.raises(FileNotFoundError):
+        settings.load(str(tmp_path / "none.toml"))
+
+
 def test_manifest_upsert_keeps_state(spark):
     row = lambda key, provider, created, status, n: (key, "web", provider, "r", "d", "{}", created, "u", "i", status, None, n, None, None)
     old = spark.createDataFrame([row("a", "p", "c1", "failed", 2), row("b", "p", "c1", "success", 1)], store.MANIFESTS)
