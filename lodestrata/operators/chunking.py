@@ -245,17 +245,32 @@ def chunk(documents: DataFrame, size: int = 1200, overlap: int = 150) -> DataFra
     return made.select("document_id", "chunk_index", F.col("piece.section").alias("section"), c.alias("content"), T.estimate_tokens(c).alias("token_estimate"), T.content_hash(c).alias("content_hash"))
 
 
+def joined(parts: list[str], least: int = 8) -> str:
+    """Pieces in order; where one ends as the next begins, over ``least`` characters or more, that stands once.
+
+    The longest overlap counts. Only places where the next piece's first characters stand are tried.
+    """
+    text = ""
+    for part in parts:
+        if not text or not part:
+            text = part if not text else text + "\n\n"
+            continue
+        at = text.find(part[:least], max(0, len(text) - len(part))) if len(part) >= least else -1
+        while at >= 0 and not part.startswith(text[at:]):
+            at = text.find(part[:least], at + 1)
+        text = text + "\n\n" + part if at < 0 else text[:at] + part
+    return text
+
+
 def stitch(chunks: DataFrame, least: int = 8) -> DataFrame:
     """(document_id, content): chunks joined in order; an overlap of ``least`` or more is written once."""
 
-    def join(a: Column, b: Column) -> Column:
-        shortest = F.least(F.length(a), F.length(b))
-        sizes = F.when(shortest >= least, F.sequence(shortest, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        k = F.get(F.filter(sizes, lambda n: F.endswith(a, F.substring(b, F.lit(1), n))), F.lit(0))
-        return F.when(F.length(a) == 0, b).when(k.isNotNull(), F.concat(a, b.substr(k + 1, F.length(b)))).otherwise(F.concat(a, F.lit("\n\n"), b))
+    @F.pandas_udf("string")
+    def run(many: pd.Series) -> pd.Series:
+        return pd.Series([joined([p or "" for p in parts], least) for parts in many], dtype=object)
 
     ordered = chunks.groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct("chunk_index", "content"))).alias("parts"))
-    return ordered.select("document_id", F.aggregate("parts", F.lit(""), lambda a, x: join(a, F.coalesce(x["content"], F.lit("")))).alias("content"))
+    return ordered.select("document_id", run(F.transform("parts", lambda x: x["content"])).alias("content"))
 
 
 def hydrate(documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -37,16 +37,17 @@ def ranks(chunks: DataFrame, query: str, vector: list[float], most: int, suffixe
 
     index: stored postings and lengths; without them the contents are counted.
     """
-    full = R.full_text_indexed(*index, query, most, suffixes) if index else R.full_text(chunks, query, most, suffixes)
+    if index:
+        full = R.full_text_indexed(*index, query, most, suffixes)
+        by = {"vector": R.vector_knn(chunks, vector, most, suffixes), "place": R.path_section_match(chunks, query, most, suffixes)}
+    else:
+        by = R.ranks_of(cut(R.measures(chunks, query, vector, suffixes)), query, most)  # a few numbers a chunk
+        full = by["text"]
     full = cut(full.select("chunk_id", F.col("rank").alias("f")))  # read twice, at most ``most`` rows
     # whether the fallback is needed is known by now: contents are only searched where it is
-    fallback = (R.substring_match(chunks, query, most, suffixes) if full.isEmpty() else chunks.where("false").withColumn("rank", F.lit(0))).select("chunk_id", F.col("rank").alias("l"))
-    parts = [
-        R.vector_knn(chunks, vector, most, suffixes).select("chunk_id", F.col("rank").alias("v")),
-        full,
-        fallback,
-        R.path_section_match(chunks, query, most, suffixes).select("chunk_id", F.col("rank").alias("m")),
-    ]
+    needed = full.isEmpty()
+    fallback = by.get("content", R.substring_match(chunks, query, most, suffixes)) if needed else full.where("false").withColumn("rank", F.lit(0))
+    parts = [by["vector"].select("chunk_id", F.col("rank").alias("v")), full, fallback.select("chunk_id", F.col("rank").alias("l")), by["place"].select("chunk_id", F.col("rank").alias("m"))]
     return reduce(lambda a, b: a.join(b, "chunk_id", "full"), parts)
 
 
@@ -77,7 +78,9 @@ def search(chunks: DataFrame, query: str, vector: list[float], limit: int = 8, s
         # an identifier that no lexical retriever knows has no hits, whatever is near by vector
         seen = found.agg(F.count_if(F.coalesce("f", "l", "m").isNotNull()).alias("lexical"))
         found = found.crossJoin(F.broadcast(seen)).where("lexical > 0").drop("lexical")  # one row
-    rows = chunks.join(F.broadcast(found), "chunk_id")  # at most four times the ladder's last step
+    few = F.broadcast(found)  # at most four times the ladder's last step
+    # the semi join reaches below what the caller does to the chunks
+    rows = chunks.join(few.select("chunk_id"), "chunk_id", "left_semi").join(few, "chunk_id")
     score = reciprocal(F.col("v")) + reciprocal(F.col("f")) + reciprocal(F.col("l")) + boost(query)
     out = rows.select("chunk_id", "document_id", "source_key", "source_kind", "path", "section", T.snippet(F.col("content"), query).alias("snippet"), F.round(score, 12).alias("score"))
     return out.orderBy(F.col("score").desc(), "document_id", "chunk_id").limit(limit)

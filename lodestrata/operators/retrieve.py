@@ -7,10 +7,15 @@ The inverted index is a table of postings (term, chunk_id, tf) to be written buc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.session import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -32,6 +37,41 @@ def vector_knn(chunks: DataFrame, query: list[float], limit: int, suffixes: list
     return _ranked(scored, [F.col("distance").asc(), F.col("chunk_id").asc()], limit)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000, digits: int = 6) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the ``k`` nearest of all vectors to each query; both are (vec_id, embedding).
+
+    Queries go in blocks of at most ``block``, each sent to all tasks and compared in one pass over
+    the vectors; so what is sent is bounded however many queries there are. A pass keeps k rows a
+    query and task. Exact; ties go to the smaller id.
+    """
+    spark = vectors.sparkSession
+    schema = "query_id long, vec_id long, distance double"
+    passes = max(1, -(-queries.count() // block))
+    found = spark.createDataFrame([], schema)
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, passes))) if passes > 1 else F.lit(0)
+    for n in range(passes):
+        # about ``block`` rows
+        rows = queries.where(part == n).select("vec_id", "embedding").collect()
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["embedding"] for r in rows], dtype=np.float64)))
+
+        def compare(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            for b in batches:
+                if not len(b):
+                    continue
+                e, own = np.array(b["embedding"].tolist(), dtype=np.float64), b["vec_id"].to_numpy()
+                for lo in range(0, len(ids), 256):
+                    dist = np.round(np.sqrt(((q[lo : lo + 256, None, :] - e[None, :, :]) ** 2).sum(axis=2)), digits)
+                    top = [np.lexsort((own, row))[:k] for row in dist]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + 256], [len(t) for t in top]), "vec_id": np.concatenate([own[t] for t in top]), "distance": np.concatenate([row[t] for row, t in zip(dist, top)])})
+
+        ranked = vectors.select("vec_id", "embedding").mapInPandas(compare, schema).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+        found = ranked if passes == 1 else found.unionByName(cut(ranked), allowMissingColumns=True)
+    return found if "rank" in found.columns else found.withColumn("rank", F.lit(None).cast("int"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf) of every chunk."""
     return chunks.select("chunk_id", F.explode(T.tokens(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
@@ -49,24 +89,51 @@ def _count(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
-def full_text(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
-    """BM25 over contents; the corpus statistics aren't restricted by the suffix filter."""
-    terms = T.terms_of(query)[: T.QUERY_TOKENS]
-    if not terms:
-        return chunks.where("false").select("chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+def _counts(terms: list[str]) -> list[Column]:
     words = T.tokens(F.col("content"))
-    counted = chunks.select("chunk_id", "path", F.size(words).alias("dl"), *[_count(words, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    return [F.size(words).alias("dl"), *[_count(words, t).alias(f"tf{i}") for i, t in enumerate(terms)]]
+
+
+def _bm25(counted: DataFrame, hits: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, score) of ``hits``, with the statistics of all rows of ``counted``."""
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
-    if suffixes:
-        hits = hits.where(T.has_suffix(F.col("path"), suffixes))
-    joined = hits.crossJoin(F.broadcast(stats))  # one row
+    joined = hits.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf = F.col(f"tf{i}").cast("double")
         score = score + _idf(F.col("n"), F.col(f"df{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = joined.select("chunk_id", F.round(score, 9).alias("score"))
-    return _ranked(scored, [F.col("score").desc(), F.col("chunk_id").asc()], limit)
+    return joined.select("chunk_id", F.round(score, 9).alias("score"))
+
+
+def full_text(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
+    """BM25 over contents; the corpus statistics aren't restricted by the suffix filter."""
+    terms = T.terms_of(query)[: T.QUERY_TOKENS]
+    if not terms:
+        return chunks.where("false").select("chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    counted = chunks.select("chunk_id", "path", *_counts(terms))
+    hits = counted.where(T.has_suffix(F.col("path"), suffixes)) if suffixes else counted
+    return _ranked(_bm25(counted, hits, terms), [F.col("score").desc(), F.col("chunk_id").asc()], limit)
+
+
+def measures(chunks: DataFrame, query: str, vector: list[float], suffixes: list[str], column: str = "embedding") -> DataFrame:
+    """What all retrievers need of each chunk, in one pass over the contents: (chunk_id, kept, distance, dl, tf0.., content_quality, place_quality)."""
+    terms = T.terms_of(query)[: T.QUERY_TOKENS]
+    near = F.when(F.size(column) == len(vector), F.round(distance(F.col(column), vector), 12))
+    kept = T.has_suffix(F.col("path"), suffixes) if suffixes else F.lit(True)
+    return chunks.select("chunk_id", kept.alias("kept"), near.alias("distance"), *_counts(terms), _content_quality(query).alias("content_quality"), _place_quality(query).alias("place_quality"))
+
+
+def ranks_of(measured: DataFrame, query: str, limit: int) -> dict[str, DataFrame]:
+    """The four retrievers' (chunk_id, rank) from ``measures``."""
+    terms = T.terms_of(query)[: T.QUERY_TOKENS]
+    kept, order = measured.where("kept"), F.col("chunk_id").asc()
+    none = measured.where("false").select("chunk_id", F.lit(0).alias("rank"))
+    return {
+        "vector": _ranked(kept.where("distance is not null").select("chunk_id", "distance"), [F.col("distance").asc(), order], limit),
+        "text": _ranked(_bm25(measured, kept, terms), [F.col("score").desc(), order], limit) if terms else none,
+        "content": _ranked(kept.where("content_quality > 0").select("chunk_id", "content_quality"), [F.col("content_quality").desc(), order], limit),
+        "place": _ranked(kept.where("place_quality > 0").select("chunk_id", "place_quality"), [F.col("place_quality").desc(), order], limit),
+    }
 
 
 def full_text_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
@@ -85,23 +152,35 @@ def full_text_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int
     return _ranked(summed.select("chunk_id", F.round("score", 9).alias("score")), [F.col("score").desc(), F.col("chunk_id").asc()], limit)
 
 
-def substring_match(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
-    """Fallback: contents that contain any term, by the number of terms, whole phrases first."""
+def _content_quality(query: str) -> Column:
+    """The number of terms that a content holds, more for the whole phrase; 0 without any."""
     terms, phrase = T.terms_of(query)[: T.QUERY_TOKENS], query.strip().lower()
     low = F.lower("content")
-    quality = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
-    kept = chunks.where(T.has_suffix(F.col("path"), suffixes)) if suffixes else chunks
+    hits = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
     bonus = F.when(F.contains(low, F.lit(phrase)), 100).otherwise(0) if len(phrase) >= 2 else F.lit(0)
-    scored = kept.withColumn("hits", quality).where("hits > 0").select("chunk_id", (F.col("hits") + bonus).alias("quality"))
-    return _ranked(scored, [F.col("quality").desc(), F.col("chunk_id").asc()], limit)
+    return F.when(hits > 0, hits + bonus).otherwise(0)
 
 
-def path_section_match(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
-    """Paths and sections that contain any term; whole phrases add to the quality only."""
+def _place_quality(query: str) -> Column:
+    """The number of terms that a path and a section hold, more for the whole phrase; 0 without any."""
     terms, phrase = T.terms_of(query), query.strip().lower()
     path, section = F.lower("path"), F.lower(F.coalesce("section", F.lit("")))
-    quality = sum((F.contains(path, F.lit(t)).cast("int") + F.contains(section, F.lit(t)).cast("int") for t in terms), F.lit(0))
-    kept = chunks.where(T.has_suffix(F.col("path"), suffixes)) if suffixes else chunks
+    hits = sum((F.contains(path, F.lit(t)).cast("int") + F.contains(section, F.lit(t)).cast("int") for t in terms), F.lit(0))
     bonus = F.when(F.contains(path, F.lit(phrase)), 100).otherwise(0) + F.when(F.contains(section, F.lit(phrase)), 80).otherwise(0) if len(phrase) >= 2 else F.lit(0)
-    scored = kept.withColumn("hits", quality).where("hits > 0").select("chunk_id", (F.col("hits") + bonus).alias("quality"))
+    return F.when(hits > 0, hits + bonus).otherwise(0)
+
+
+def _matched(chunks: DataFrame, quality: Column, limit: int, suffixes: list[str] | None) -> DataFrame:
+    kept = chunks.where(T.has_suffix(F.col("path"), suffixes)) if suffixes else chunks
+    scored = kept.select("chunk_id", quality.alias("quality")).where("quality > 0")
     return _ranked(scored, [F.col("quality").desc(), F.col("chunk_id").asc()], limit)
+
+
+def substring_match(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
+    """Fallback: contents that contain any term, by the number of terms, whole phrases first."""
+    return _matched(chunks, _content_quality(query), limit, suffixes)
+
+
+def path_section_match(chunks: DataFrame, query: str, limit: int, suffixes: list[str] | None = None) -> DataFrame:
+    """Paths and sections that contain any term; whole phrases add to the quality only."""
+    return _matched(chunks, _place_quality(query), limit, suffixes)

@@ -151,28 +151,9 @@ def _(s, d):
     "(SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(qe) + 1), lambda i: (embedding[i]::DOUBLE - qe[i]::DOUBLE) * (embedding[i]::DOUBLE - qe[i]::DOUBLE)))), 6) AS distance FROM embeddings, q) QUALIFY rank <= 10",
 )
 def _(s, d):
-    """A stated query set against all vectors, in blocks: each task compares its block with all queries."""
-    import numpy as np
-    import pandas as pd
-
+    """A stated query set against all vectors, in blocks."""
     vectors = table(s, d, "embeddings").select("vec_id", "embedding")
-    sent = s.sparkContext.broadcast([(r["vec_id"], r["embedding"]) for r in vectors.where("vec_id % 100 = 0").collect()])  # the stated query set
-
-    def nearest(batches):
-        ids = np.array([q for q, _ in sent.value], dtype=np.int64)
-        q = np.array([e for _, e in sent.value], dtype=np.float64)
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            e, own = np.array(b["embedding"].tolist(), dtype=np.float64), b["vec_id"].to_numpy()
-            dist = np.round(np.sqrt(((q[:, None, :] - e[None, :, :]) ** 2).sum(axis=2)), 6)
-            top = [np.lexsort((own, row))[:10] for row in dist]
-            yield pd.DataFrame({"query_id": np.repeat(ids, [len(t) for t in top]), "vec_id": np.concatenate([own[t] for t in top]), "distance": np.concatenate([row[t] for row, t in zip(dist, top)])})
-
-    from pyspark.sql import Window
-
-    best = vectors.mapInPandas(nearest, "query_id long, vec_id long, distance double")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where("rank <= 10")
+    return retrieve.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
 @register("fts_bm25", f"WITH {_CK} {_fts_sql(QUERY, 50, [])}")
@@ -664,8 +645,19 @@ def _(s, d):
 _LAST = "d AS (SELECT DISTINCT id, source_key, source_kind, path FROM kb_documents QUALIFY id = max(id) OVER (PARTITION BY source_key, path))"
 
 
-def stored(s: SparkSession, d: str) -> store.Store:
-    """A store of the last document of each path, with the chunks as they are."""
+_STORED: dict[tuple[str, str], store.Store] = {}
+
+
+def stored(s: SparkSession, d: str, fresh: bool = False) -> store.Store:
+    """A store of the last document of each path, with the chunks as they are; made once a session unless ``fresh``."""
+    key = (s.sparkContext.applicationId, d)
+    if fresh or key not in _STORED:
+        made = _stored(s, d)
+        return made if fresh else _STORED.setdefault(key, made)
+    return _STORED[key]
+
+
+def _stored(s: SparkSession, d: str) -> store.Store:
     from lodestrata.session import checkpoint_dir
 
     at = store.Store(s, f"{checkpoint_dir(s)}/index-{uuid.uuid4().hex}")
@@ -694,7 +686,7 @@ def _(s, d):
 )
 def _(s, d):
     """One source replaced by half of its documents and one removed, in the store."""
-    at = stored(s, d)
+    at = stored(s, d, fresh=True)
     ends = at.documents.agg(F.min("source_key").alias("a"), F.max("source_key").alias("b")).first()
     if ends["a"] is None:
         return at.documents.groupBy("source_key").agg(F.count("*").alias("documents"))

@@ -44,9 +44,9 @@ def test_code_is_cut_along_its_structure():
 
 def test_stitching(spark):
     parts = ["Rain fell on the roof of the mill", "roof of the mill until the wheel stood", "still. Nobody came"]
-    rows = [(5, k, t) for k, t in enumerate(parts)] + [(6, 1, "second"), (6, 0, "first"), (6, 0, "first"), (7, 0, None), (8, 0, "same text"), (8, 1, "same text")]
+    rows = [(5, k, t) for k, t in enumerate(parts)] + [(6, 1, "second"), (6, 0, "first"), (6, 0, "first"), (7, 0, None), (8, 0, "same text"), (8, 1, "same text"), (9, 0, "abababab abababab"), (9, 1, "abababab abababab c"), (9, 2, ""), (9, 3, "end")]
     got = dict(chunking.stitch(spark.createDataFrame(rows, "document_id long, chunk_index int, content string")).collect())
-    assert got == {5: "Rain fell on the roof of the mill until the wheel stood\n\nstill. Nobody came", 6: "first\n\nsecond", 7: "", 8: "same text"}
+    assert got == {5: "Rain fell on the roof of the mill until the wheel stood\n\nstill. Nobody came", 6: "first\n\nsecond", 7: "", 8: "same text", 9: "abababab abababab c\n\n\n\nend"}
 
 
 def test_retrievers_break_ties_by_id(spark):
@@ -58,6 +58,20 @@ def test_retrievers_break_ties_by_id(spark):
     assert retrieve.vector_knn(c.where("false"), [1.0, 0, 0, 0], 3).count() == 0
 
 
+def test_nearest_vectors_in_blocks(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.where("vec_id % 10 = 0")
+    brute = []
+    for i, e in rows:
+        if i % 10 == 0:
+            order = sorted((round(sum((a - b) ** 2 for a, b in zip(e, f)) ** 0.5, 6), j) for j, f in rows)[:4]
+            brute += [(i, j, x, n) for n, (x, j) in enumerate(order, 1)]
+    for block in (2, 100):
+        assert sorted((r["query_id"], r["vec_id"], r["distance"], r["rank"]) for r in retrieve.nearest(v, q, 4, block).collect()) == sorted(brute)
+    assert retrieve.nearest(v, q.where("false"), 4).count() == 0
+
+
 def test_stored_postings_rank_alike(spark):
     c = corpus(spark, [(i, i, f"{i}.md", "", " ".join(["alpha"] * (i % 4) + ["beta"] * (i % 3) + ["rest"] * i)) for i in range(1, 30)])
     a = retrieve.full_text(c, "alpha beta", 10).orderBy("rank").collect()
