@@ -162,9 +162,9 @@ def classes_with_links(df: DataFrame, id_col: str = "id", text_col: str = "conte
 
 
 def class_links(df: DataFrame, id_col: str = "id", text_col: str = "content", **settings) -> DataFrame:
-    """(class_a, class_b, edit_similarity, similarity): the links between classes of different texts, each once."""
+    """(class_a, class_b, similarity): the links between classes of different texts, each once."""
     _, links = near_copies(df, id_col, text_col, **settings)
-    return links.select("class_a", "class_b", F.round("edit_similarity", 6).alias("edit_similarity"), F.round("similarity", 6).alias("similarity"))
+    return links.select("class_a", "class_b", F.round("similarity", 6).alias("similarity"))
 
 
 def found(documents: DataFrame) -> DataFrame:
