@@ -307,29 +307,29 @@ def detect(documents: DataFrame, model: Model | None, text_col: str = "text", id
     return picked.mapInPandas(run, schema)
 
 
-def merged(sentences: list[tuple[int, int, np.ndarray]], sure: float = 0.8, short: int = 60, surer: float = 0.95) -> list[tuple[int, int, int | None, float]]:
-    """(start, end, code number or None, confidence): runs of sentences in one language.
+def merged(sentences: list[tuple[int, int, int, float]], sure: float = 0.8, short: int = 60, surer: float = 0.95) -> list[tuple[int, int, int | None, list[int]]]:
+    """(start, end, code number or None, numbers of sentences): runs of sentences (start, end, best code, its probability) in one language.
 
     A sentence that isn't ``sure`` (one below ``short`` characters: ``surer``) goes with its neighbour.
     """
     out: list[list] = []
-    for s, e, row in sentences:
-        k, top = int(np.argmax(row)), float(np.max(row))
+    for n, (s, e, k, top) in enumerate(sentences):
         code = k if top >= (sure if e - s >= short else surer) else None
         if out and (code is None or out[-1][2] in (None, code)):
             out[-1][1], out[-1][2] = e, out[-1][2] if code is None else code
-            out[-1][3].append((e - s, row))
+            out[-1][3].append(n)
         else:
-            out.append([s, e, code, [(e - s, row)]])
-    return [(s, e, k, 0.0 if k is None else float(sum(n * row[k] for n, row in rows) / sum(n for n, _ in rows))) for s, e, k, rows in out]
+            out.append([s, e, code, [n]])
+    return [tuple(x) for x in out]
 
 
 def segments(documents: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, block_no, segment_no, start_at, n_chars, language_code, confidence) of all text outside fences.
 
     Every block is judged by its sentences: one in one language is one segment, a mixed one has a
-    segment a run of sentences in one language. start_at counts from 0 within the trimmed block. Segments without a language have null
-    and confidence 0.
+    segment a run of sentences in one language. start_at counts from 0 within the trimmed block;
+    confidence is the mean of the sentences' calibrated probabilities, by characters. Segments without
+    a language have null and confidence 0.
     """
     schema = "doc_id long, block_no long, segment_no int, start_at long, n_chars long, language_code string, confidence double"
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -338,16 +338,24 @@ def segments(documents: DataFrame, model: Model | None, text_col: str = "text",
         m = held.value
         for b in batches:
             ids, numbers, texts, fenced = _texts(b, True)
-            got, parts = _judge(m, texts, 2.0)
-            rows = []
-            for n, (i, no, text, code) in enumerate(zip(ids, numbers, texts, fenced)):
-                if code:
-                    continue
-                if n in parts:
-                    for k, (s, e, c, v) in enumerate(merged(parts[n])):
-                        rows.append((i, no, k, s, e - s, None if c is None else m.codes[c], v))
-                else:
-                    rows.append((i, no, 0, 0, len(text), got[n][0], got[n][1] if got[n][0] else 0.0))
+            spans = [[] if code else _pieces(t) for t, code in zip(texts, fenced)]
+            said = [t[s:e] for t, parts in zip(texts, spans) for s, e in parts]
+            if m and said:
+                p, _ = m.many(said)
+                best, top = p.argmax(axis=1).tolist(), p.max(axis=1).tolist()
+            else:
+                p, best, top = np.zeros((len(said), 1)), [0] * len(said), [0.0] * len(said)
+            rows, at = [], 0
+            for i, no, parts in zip(ids, numbers, spans):
+                n = len(parts)
+                judged = [(s, e, k, v) for (s, e), k, v in zip(parts, best[at : at + n], top[at : at + n])]
+                for k, (s, e, code, held_) in enumerate(merged(judged)):
+                    share = 0.0
+                    if code is not None:
+                        size = [judged[x][1] - judged[x][0] for x in held_]
+                        share = sum(z * p[at + x, code] for z, x in zip(size, held_)) / sum(size)
+                    rows.append((i, no, k, s, e - s, None if code is None else m.codes[code], float(share)))
+                at += n
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     picked = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
