@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import datetime
 import json
+import os
 import sys
 import tempfile
 from collections.abc import Callable
@@ -17,14 +18,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata import evaluation
 from lodestrata.functions.embedding import EmbeddingProvider, HashedEmbedder
 from lodestrata.functions.redaction import redact_deep, redact_text_literal
 from lodestrata.functions.text import normalize_suffixes
-from lodestrata.operators import evidence, lookup
+from lodestrata.operators import evidence, fusion, lookup
 from lodestrata.operators.ingest import Learner
 from lodestrata.operators.store import Store
+from lodestrata.progress import Progress
 from lodestrata.session import local_session
 from lodestrata.sources import settings as S
 from lodestrata.sources import webpages
@@ -103,7 +106,7 @@ def answer_text(scope: str, folder: str, question: str, reply: dict) -> str:
 
 @dataclass
 class Context:
-    """Session, services and settings of a run; progress and tokens are counted in ``spent``."""
+    """Session, services and settings of a run; progress and tokens go to ``progress``."""
 
     session: Callable[[], SparkSession] = local_session
     embedder: EmbeddingProvider = field(default_factory=HashedEmbedder)
@@ -112,7 +115,7 @@ class Context:
     web_search: Callable[[str], dict] | None = None
     root: str | None = None
     out: Callable[[str], None] = print
-    spent: dict[str, float] = field(default_factory=dict)
+    progress: Progress = field(default_factory=Progress)
 
     def learner(self, args: argparse.Namespace, ensure: bool = False) -> tuple[Learner, str, str, dict]:
         """(learner, scope, folder, settings); ``ensure``: bring the index up to date first."""
@@ -127,7 +130,7 @@ class Context:
             w = settings["web.ingest.command"]
             pages = webpages.CommandPages(w["command"], {"get": w["get_page_timeout_ms"], "fetch": w["fetch_page_timeout_ms"]})
         retry = settings["web.ingest.command"]
-        learner = Learner(spark, Store(spark, folder), self.embedder, now, i["chunk_size"], i["chunk_overlap"], i["max_file_bytes"], f"{folder}-repositories", pages, retry["retry_max_retries"], retry["retry_delay_seconds"])
+        learner = Learner(spark, Store(spark, folder), self.embedder, now, i["chunk_size"], i["chunk_overlap"], i["max_file_bytes"], f"{folder}-repositories", pages, retry["retry_max_retries"], retry["retry_delay_seconds"], self.progress)
         if ensure:
             learner.ensure()
         return learner, scope, folder, settings
@@ -176,7 +179,7 @@ def _ask(c: Context, a: argparse.Namespace) -> tuple[Any, str, int]:
     reply = evidence.ask(learner.store.searchable, a.query, c.model, search, steps=o["steps"], per_step=o["per_step"], most=o["most"])
     reply["fell_back"] = getattr(c.model, "fell_back", False)
     if usage := getattr(c.model, "usage", None):
-        c.spent["tokens"] = usage.total
+        reply["tokens"] = {"input": usage.input, "output": usage.output, "estimated": usage.estimated}
     return {"query": a.query, "scope": scope, "index": folder, **reply}, answer_text(scope, folder, a.query, reply), 0
 
 
@@ -221,6 +224,23 @@ def _eval(c: Context, a: argparse.Namespace) -> tuple[Any, str, int]:
     return value, "\n".join(_lines({"status": value["status"], "checked": len(evaluation.BASELINE), **metrics})), 1 if found else 0
 
 
+def _smoke(c: Context, a: argparse.Namespace) -> tuple[Any, str, int]:
+    """One small call of each service that is set, and whether a secret of the environment shows in what they gave."""
+    steps: dict[str, Any] = {"embedding": len(c.embedder.embed_query("smoke test"))}
+    if c.web_search is not None:
+        steps["web_search"] = webpages.search_results(c.session(), c.web_search("smoke test")).limit(1).count()
+    if c.pages is not None and a.page:
+        steps["page"] = len(webpages.fetch_pages(c.session().createDataFrame([(a.page,)], "url string"), c.pages, "auto", 0, least_chars=1).first()["record"] or "")
+    if c.model is not None:
+        rows = evaluation.chunks(c.session()).withColumn("embedding", c.embedder.embed(F.col("content")))
+        reply = evidence.ask(rows, evaluation.QUESTION, c.model, lambda q: fusion.search(rows, q, c.embedder.embed_query(q), 1), steps=1, per_step=1, most=1)
+        steps["answer"] = reply["status"]
+    shown = printed(steps, True)
+    secrets = [v for k, v in os.environ.items() if k.endswith(("_KEY", "_TOKEN", "_SECRET")) and len(v) >= 8]
+    leaked = any(v in shown for v in secrets)
+    return {"status": "leaked" if leaked else "passed", **({} if leaked else steps)}, f"status: {'leaked' if leaked else 'passed'}", 1 if leaked else 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog=PROGRAM)
     commands = p.add_subparsers(dest="command", required=True)
@@ -264,6 +284,8 @@ def parser() -> argparse.ArgumentParser:
     q = command("web", _web, scoped=False)
     q.add_argument("action", choices=("search",))
     q.add_argument("query")
+    q = command("smoke", _smoke, scoped=False)
+    q.add_argument("--page")
     q = command("eval", _eval, scoped=False)
     q.add_argument("--baseline")
     q.add_argument("--check", action="store_true")

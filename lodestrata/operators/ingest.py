@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import redaction as X
 from lodestrata.functions import text as T
 from lodestrata.functions.embedding import EmbeddingProvider
+from lodestrata.progress import Progress
 from lodestrata.session import cut, numbered
 from lodestrata.sources import files, webpages
 
@@ -60,12 +61,14 @@ class Learner:
     pages: webpages.PageSource | None = None
     retries: int = 3
     delay_seconds: float = 0
+    progress: Progress = field(default_factory=Progress)
 
     def rows(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(documents, chunks) as stored, of rows without ids; documents that give no chunk are left out.
 
         Ids go on from the last one used, in order of source and path.
         """
+        step = self.progress.start("chunk and embed")
         begin = int(self.store.metadata().get("next_document_id", "1"))
         named = numbered(documents, ["source_key", "path"], begin)
         made = chunking.chunk(named, self.size, self.overlap).join(named.select(F.col("id").alias("document_id"), "source_key"), "document_id")
@@ -76,7 +79,10 @@ class Learner:
         if last["d"] is not None:
             self.store.set_metadata("next_document_id", str(last["d"] + 1))
             self.store.set_metadata("next_chunk_id", str(last["c"] + 1))
-        return cut(kept.select([c.split()[0] for c in DOCUMENTS.split(", ")])), placed
+        documents = cut(kept.select([c.split()[0] for c in DOCUMENTS.split(", ")]))
+        self.progress.add(step, documents.count())
+        self.progress.stop(step)
+        return documents, placed
 
     def put(self, source_key: str, documents: DataFrame) -> tuple[int, int]:
         rows, chunks = self.rows(documents)
@@ -106,6 +112,7 @@ class Learner:
         if self.pages is None:
             raise ValueError("no page source is set")
         self.pages.check()
+        step = self.progress.start("fetch pages", max_pages if crawling else 1)
         if isinstance(self.pages, webpages.ServicePages) and crawling:
             found, failed = self.pages.crawl(self.spark, source, max_pages, max_depth, mode)
             found = found.withColumns({"identity": X.page_identity(F.col("url")), "attempts": F.lit(1)})
@@ -115,6 +122,8 @@ class Learner:
         # as many as the crawl's limit
         failures = [r.asDict() for r in failed.collect()]
         attempts = {r["identity"]: r["attempts"] for r in found.select("identity", "attempts").collect()}
+        self.progress.add(step, len(attempts))
+        self.progress.stop(step)
         if not attempts:
             raise NothingLearned(f"no page of {X.redact_text_literal(source)} could be fetched", failures)
         key = X.redact_url(source, drop_fragment=True) or source

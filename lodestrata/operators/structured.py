@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from lodestrata.functions.text import tokens_of_literal
+from lodestrata.progress import Progress
 
 # What services say that have no structured output, and the statuses they say it with.
 HINTS = (
@@ -92,6 +93,7 @@ class ServiceModel:
     texts: TextCall
     check: Callable[[str, Any], dict] = lambda kind, value: value
     usage: Usage = field(default_factory=Usage)
+    progress: Progress | None = None
     fell_back: bool = False
 
     def _ask(self, kind: str, system: str, prompt: str) -> dict:
@@ -104,6 +106,9 @@ class ServiceModel:
             text, used = self.texts(system, f"{prompt}\n\nReturn only valid JSON of the requested form, without fences.")
             self.usage.add(kind, used, f"{system}\n{prompt}", text)
             value, self.fell_back = json_of(text), True
+        if self.progress:
+            self.progress.tokens = {"input": 0, "output": 0}
+            self.progress.use(self.usage.input, self.usage.output, self.usage.estimated)
         return self.check(kind, value)
 
     def plan(self, question: str, evidence: list[str]) -> dict:

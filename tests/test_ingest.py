@@ -11,6 +11,7 @@ from lodestrata.functions.embedding import Fingerprint, HashedEmbedder, KeywordE
 from lodestrata.operators import crawl, evidence, lookup, structured
 from lodestrata.operators.ingest import Learner, NothingLearned
 from lodestrata.operators.store import DOCUMENTS, Store
+from lodestrata.progress import Progress
 from lodestrata.session import numbered
 from lodestrata.sources import files, policies, webpages
 
@@ -237,6 +238,19 @@ def test_structured_replies_and_usage():
     assert isinstance(structured.model("scripted", [{}], [{}]), evidence.Scripted)
 
 
+def test_progress():
+    said = []
+    p = Progress(said.append)
+    t = p.start("read", 2)
+    p.add(t)
+    p.stop(t)
+    m = structured.ServiceModel(lambda s, q: ({}, {"input": 3, "output": 1, "total": 4}), None, progress=p)
+    m.plan("q", [])
+    m.plan("q", [])
+    assert said == ["read: 0/2", "read: 1/2", "read: 1/2 done", "tokens: 4", "tokens: 8"] and not p.estimated
+    Progress().start("silent")
+
+
 def test_embedders(spark):
     h = HashedEmbedder(8)
     df = spark.createDataFrame([("rope and rope",), ("",), (None,)], "c string")
@@ -278,6 +292,8 @@ def test_commands(spark, tmp_path, capsys):
     assert run("get", "a.md") == 0 and "title: a.md" in out[-1]
     assert run("ai-search", "where is the crane?") == 0 and "grounding_status: grounded" in out[-1] and "get: lodestrata get --document-id 1" in out[-1]
     assert run("web", "search", "x") == 0 and "key=[REDACTED]" in out[-1]
+    assert [t.name for t in c.progress.tasks] == ["chunk and embed", "fetch pages", "chunk and embed"] and c.progress.tasks[0].done == 2
+    assert run("smoke", "--page", SITE, "--json") == 0 and json.loads(out[-1])["answer"] == "grounded" and json.loads(out[-1])["page"] > 0
     assert run("db", "stats", "--global") == 0 and "sources: 2" in out[-1] and run("db", "scope", "--global") == 0 and f"[source] {at}" in out[-1]
     assert run("db", "rebuild", "--global") == 0 and "rebuilt: 2" in out[-1]
     c.pages = webpages.RecordedPages({})
