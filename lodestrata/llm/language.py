@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "it", "nl")
@@ -131,6 +131,20 @@ class Model:
         return out, has
 
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Write a fitted model to a folder, so that later runs needn't fit it: one row of logits a bucket."""
+    rows = [(-1, [float(x) for x in (*model.bias, model.threshold)]), *enumerate(model.table.tolist())]
+    frame = spark.createDataFrame(rows, "bucket long, logits array<double>").withColumn("codes", F.when(F.col("bucket") < 0, ",".join(model.codes)))
+    frame.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A model as ``save_model`` wrote it: as many rows as it has buckets."""
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["bucket"])
+    about = rows[0]["logits"]
+    return Model(np.array([r["logits"] for r in rows[1:]], dtype=np.float32), np.array(about[:-1], dtype=np.float32), rows[0]["codes"].split(","), about[-1])
+
+
 def train(texts: list[str], labels: list[str], dim: int = 16, buckets: int = 1 << 16, epochs: int = 8, rate: float = 0.15, seed: int = 7) -> Model | None:
     """Fit on (text, label) rows with some wrong labels."""
     codes = sorted(set(labels))
@@ -375,9 +389,9 @@ def document_languages(documents: DataFrame, found_blocks: DataFrame) -> DataFra
     return ids.join(top, "doc_id", "left").select("doc_id", F.col("of.top.language_code").alias("language_code"), F.coalesce(F.round(F.col("of.top.w") / F.col("of.total"), 6), F.lit(0.0)).alias("confidence"))
 
 
-def found(documents: DataFrame, sample: int = 300) -> DataFrame:
-    """(doc_id, block_no, language_code) of the blocks in another language than the label names."""
+def found(documents: DataFrame, sample: int = 300, model: Model | None = None) -> DataFrame:
+    """(doc_id, block_no, language_code) of the blocks in another language than the label names; without a model one is fitted."""
     named = documents.select("doc_id", "text", label_code(F.col("lang")).alias("named"))
-    got = detect(documents, fit(documents, sample)).where("language_code is not null")
+    got = detect(documents, model or fit(documents, sample)).where("language_code is not null")
     labels = named.select(F.col("doc_id"), "named").distinct()
     return got.join(labels, "doc_id").where(F.col("named").isNull() | (F.col("named") != F.col("language_code"))).select("doc_id", "block_no", "language_code").distinct()

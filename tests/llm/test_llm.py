@@ -530,6 +530,17 @@ def test_segments_of_mixed_blocks(spark):
     assert language.segments(df.where("false"), None).count() == 0
 
 
+def test_a_stored_model_judges_alike(spark, tmp_path):
+    rng = random.Random(19)
+    df = spark.createDataFrame([(i, block(rng, c), c) for i, c in enumerate(list(SAMPLES) * 30)], "doc_id long, text string, lang string")
+    model = language.fit(df, 60)
+    language.save_model(spark, model, str(tmp_path / "m"))
+    again = language.load_model(spark, str(tmp_path / "m"))
+    assert (again.codes, again.threshold) == (model.codes, model.threshold)
+    assert sorted(map(str, language.detect(df, again).collect())) == sorted(map(str, language.detect(df, model).collect()))
+    assert language.found(df, model=again).count() == language.found(df, 60).count()
+
+
 def test_label_spellings(spark):
     df = spark.createDataFrame([("EN",), (" zh-Hans ",), ("deu",), ("unknown",), ("",), (None,), ("pt_BR",)], "l string")
     assert [r[0] for r in df.select(language.label_code(F.col("l"))).collect()] == ["en", "zh", "de", None, None, None, "pt"]
