@@ -45,6 +45,9 @@ _TOKEN = re.compile(
     re.M | re.S,
 )
 
+# the groups' numbers
+_DOC, _NAME, _MARK = (_TOKEN.groupindex[x] for x in ("doc", "name", "mark"))
+
 # Statements by which tools and third parties sign their files.
 _MADE = re.compile(
     r"(?i)@generated\b|<auto-?generated|\bauto-?\s?generated (?:file|code|by|from|source)|\b(?:code|file|source|class|automatically) (?:is |was |has been )?(?:automatically |auto-?)?generated\b"
@@ -64,30 +67,35 @@ def profile(text: str) -> dict:
     """What decides about one file: token counts, masked shingles, statement families, evidence."""
     text = text.replace("\r\n", "\n")
     names: list[str] = []
-    held: list[bool] = []
-    literal = code = 0
+    held = bytearray()
+    literal = code = last = 0
     comments: list[tuple[int, str]] = []
-    first_code = len(text)
+    first_code = None
     pieces: list[str] = []
-    last = 0
+    add, mark = names.append, held.append
     for m in _TOKEN.finditer(text):
-        kind, s = m.lastgroup, m[0]
-        if kind in ("comment", "doc"):
-            comments.append((m.start(), s))
-            pieces.append(text[last : m.start()])
-            last = m.end()
+        kind = m.lastindex
+        if kind <= _DOC:
+            start, end = m.span()
+            comments.append((start, m[0]))
+            pieces.append(text[last:start])
+            last = end
             continue
-        first_code = min(first_code, m.start())
-        n = len(s)
-        code += n
-        held.append(kind in ("string", "number"))
-        if kind in ("string", "number"):
-            literal += n
-            names.append(s)
-        elif kind == "name":
-            names.append("i")
+        s = m[0]
+        code += len(s)
+        if first_code is None:
+            first_code = m.start()
+        if kind == _NAME:
+            add("i")
+            mark(0)
+        elif kind == _MARK:
+            add(s)
+            mark(0)
         else:
-            names.append(s)
+            literal += len(s)
+            add(s)
+            mark(1)
+    first_code = len(text) if first_code is None else first_code
     pieces.append(text[last:])
     body = "".join(pieces)
     lines = [x for x in body.split("\n") if x.strip()]
@@ -97,20 +105,16 @@ def profile(text: str) -> dict:
 
 _LITERALS = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`|\b0[xX][0-9a-fA-F]+|-?\b\d[\d_.]*\w*|#[0-9a-fA-F]{3,8}")
 _NAMES = re.compile(r"[^\W\d][\w$]*")
+_NUMBERED = re.compile(r"(?<![A-Za-z0-9.])[fm]?_?(\d{1,4})(?![0-9.]*[A-Za-z0-9.])|_(\d{1,4})\b|\bf(\d{1,4})_|\bm_(\d{1,4})_")
 
 
 def family_share(lines: list[str]) -> tuple[float, int]:
     """(share of statements in the two largest families, number of statements numbered on)."""
-    shapes: Counter[str] = Counter()
+    shaped = [(" ".join(_NAMES.sub("i", _LITERALS.sub("0", s)).split()), s) for s in map(str.strip, lines) if len(s) >= 4]
+    shapes = Counter(shape for shape, _ in shaped)
     counters: dict[str, list[int]] = {}
-    for line in lines:
-        s = line.strip()
-        if len(s) < 4:
-            continue
-        shape = " ".join(_NAMES.sub("i", _LITERALS.sub("0", s)).split())
-        shapes[shape] += 1
-        found = re.findall(r"(?<![A-Za-z0-9.])[fm]?_?(\d{1,4})(?![0-9.]*[A-Za-z0-9.])|_(\d{1,4})\b|\bf(\d{1,4})_|\bm_(\d{1,4})_", s)
-        if found:
+    for shape, s in shaped:
+        if shapes[shape] >= 5 and (found := _NUMBERED.findall(s)):
             counters.setdefault(shape, []).append(int(next(x for x in found[0] if x)))
     total = sum(shapes.values())
     if not total:
@@ -123,7 +127,7 @@ def family_share(lines: list[str]) -> tuple[float, int]:
     return sum(n for _, n in shapes.most_common(2)) / total, running
 
 
-def judge(path: str, language: str, text: str) -> tuple[str | None, str | None, list[str], list[bool]]:
+def judge(path: str, language: str, text: str) -> tuple[str | None, str | None, list[str], bytearray]:
     """(reason found in the file itself or None, the evidence, its masked tokens, which are literals)."""
     p = profile(text)
     n = sum(len(x.strip()) for x in p["lines"])
@@ -161,9 +165,9 @@ def judge(path: str, language: str, text: str) -> tuple[str | None, str | None,
 FEW = 24
 
 
-def bands_of(sketcher: MinHash, shingles: np.ndarray, held: list[bool], k: int) -> np.ndarray:
+def bands_of(sketcher: MinHash, shingles: np.ndarray, held: bytearray, k: int) -> np.ndarray:
     """The bands of a file's masked shingles; held: which tokens are literals."""
-    before = np.r_[0, np.cumsum(np.array(held, dtype=bool))]
+    before = np.r_[0, np.cumsum(np.frombuffer(held, dtype=np.uint8), dtype=np.int64)]
     speaking = np.unique(shingles[before[k:] > before[:-k]])
     keys = sketcher.keys(speaking)
     return keys if len(speaking) >= FEW else np.union1d(keys, sketcher.keys(shingles))
