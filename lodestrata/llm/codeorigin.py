@@ -291,9 +291,9 @@ def origins(
     kindred = crowded.join(heads, ["key", "source"]).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("m")).where(F.col("m") >= equal).select("a", "b")
     alike = _likeness(cut(first.unionByName(kindred).distinct()), prof)
     settled = classes.where("shared").select("id").unionByName(copies(alike.join(kindred, ["a", "b"], "left_anti"))).distinct()
-    flagged = crowded.join(settled.withColumn("done", F.lit(True)), "id", "left").select("key", "id", F.coalesce("done", F.lit(False)).alias("done")).repartition("key")
-    meeting = bucket_pairs(flagged).where("not (x.done and y.done)")
-    rest = met(meeting.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("m")).where(F.col("m") >= equal).select("a", "b"))
+    flagged = crowded.join(settled.withColumn("done", F.lit(True)), "id", "left").select("key", "id", F.col("done").isNull().alias("open")).repartition("key")
+    meeting = bucket_pairs(flagged, only="open")
+    rest = met(meeting.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("m")).where(F.col("m") >= equal).select("a", "b"))
     settled = settled.unionByName(copies(_likeness(cut(rest), prof))).distinct()
 
     def every(ids: DataFrame) -> DataFrame:

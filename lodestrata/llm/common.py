@@ -69,23 +69,29 @@ CODE_SUFFIXES = (
 )
 
 
-def bucket_pairs(members: DataFrame, block: int = 512) -> DataFrame:
-    """(x, y) of all pairs within each bucket, x.id < y.id; members: (key, id, ...), distinct, best partitioned by key.
+def bucket_pairs(members: DataFrame, block: int = 512, only: str | None = None) -> DataFrame:
+    """(x, y) of all pairs within each bucket, each once; members: (key, id, ...), distinct, best partitioned by key.
 
-    A bucket beyond ``block`` members is cut into blocks by a hash of the id, and each pair of
-    blocks meets in a task's cell of its own: at most ``block`` squared pairs at once, and none lost.
+    only: a boolean column of the members, true for at least one of a pair (for x); pairs of others
+    aren't made. A bucket beyond ``block`` members is cut into blocks by a hash of the id, and each
+    pair of blocks meets in a cell of its own: at most ``block`` squared pairs at once, and none lost.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("bucket_n")).where("bucket_n > 1")
     sized = members.join(sizes, "key")
     row = F.struct(*[c for c in members.columns if c != "key"])
-    few = sized.where(F.col("bucket_n") <= block).select("key", row.alias("m"))
-    small = few.withColumnRenamed("m", "x").join(few.withColumnRenamed("m", "y"), "key")
+    first = F.col(only) if only else F.lit(True)
+    few = sized.where(F.col("bucket_n") <= block)
+    small = few.where(first).select("key", row.alias("x")).join(few.select("key", row.alias("y")), "key")
     blocks = F.ceil(F.col("bucket_n") / block)
-    many = sized.where(F.col("bucket_n") > block).select("key", row.alias("m"), F.pmod(F.xxhash64("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
-    many = many.select("key", "m", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-    left, right = many.withColumnsRenamed({"m": "x", "b": "bx"}), many.withColumnsRenamed({"m": "y", "b": "by"})
+    many = sized.where(F.col("bucket_n") > block).select("*", F.pmod(F.xxhash64("id"), blocks).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
+    cells = [F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")]
+    left = many.where(first).select("key", row.alias("x"), F.col("b").alias("bx"), *cells)
+    right = many.select("key", row.alias("y"), F.col("b").alias("by"), *cells)
     large = left.join(right, ["key", "lo", "hi"]).where((F.least("bx", "by") == F.col("lo")) & (F.greatest("bx", "by") == F.col("hi")))
-    return small.select("x", "y").unionByName(large.select("x", "y")).where("x.id < y.id")
+    once = F.col("x.id") < F.col("y.id")
+    if only:
+        once = (F.col("x.id") != F.col("y.id")) & (once | ~F.col(f"y.{only}"))
+    return small.select("x", "y").unionByName(large.select("x", "y")).where(once)
 
 
 @functools.cache

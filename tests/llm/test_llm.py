@@ -345,6 +345,15 @@ def test_hot_buckets_lose_no_pair(spark):
         assert got == sorted([(a, b) for a in range(60) for b in range(a + 1, 60)] + [(a, b) for a in range(5) for b in range(a + 1, 5)])
 
 
+def test_pairs_with_one_open_member(spark):
+    rows = [(7, i, i % 9 == 0) for i in range(40)] + [(8, i, False) for i in range(5)]
+    members = spark.createDataFrame(rows, "key long, id long, open boolean").repartition("key")
+    want = sorted((a, b) for a in range(40) for b in range(a + 1, 40) if a % 9 == 0 or b % 9 == 0)
+    for block in (6, 1000):
+        got = [(r["x"], r["y"]) for r in bucket_pairs(members, block, "open").collect()]
+        assert sorted(tuple(sorted((x["id"], y["id"]))) for x, y in got) == want and all(x["open"] for x, _ in got)
+
+
 def test_links_between_classes(spark):
     w = words(random.Random(31), 200)
     a, b = " ".join(w), " ".join(w[:100] + ["changed"] + w[101:])
